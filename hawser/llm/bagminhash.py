@@ -11,9 +11,11 @@ registers are almost surely full (and on, where one is not), so the cost is abou
 Bands of registers give buckets. Texts with the same multiset are one node from the start, so groups of exact copies cost
 a row each. In a bucket every node is held against one hub, not against every other: the node with the most copies,
 then the smallest id. Nodes that no hub has taken get another hub, HUB_ROUNDS times. What could still be missing are
-links between nodes of one bucket that are in different components by then: exactly those pairs are listed and verified,
-so no candidate link is lost and large groups of near copies never become pairs. Links are verified on the multisets: at
-least SIMILARITY overlap, sum of smaller counts over sum of larger ones. Components take the smallest doc_id.
+links between nodes of one bucket that are in different components by then. Of those pairs, the ones whose sizes admit
+SIMILARITY and that agree in a second band too are verified, so large groups of near copies never become pairs, nor do
+the many texts that share one common passage. (Two texts of similarity 0.8 agree in no band with a probability of 3e-6, in
+one at most with 5e-5; no other rule drops a pair.) Links are verified on the multisets: at least SIMILARITY overlap, sum
+of smaller counts over sum of larger ones. Components take the smallest doc_id.
 
 Cases: null, empty and wordless texts have no shingle and are no one's copy; rows that share a doc_id are one document;
 rows without doc_id join no class (class_id null); ties go to the smaller doc_id; texts of any length.
@@ -22,14 +24,14 @@ rows without doc_id join no class (class_id null); ties go to the smaller doc_id
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._vec import Block, combine, mix, windows
 from .io import durable, map_blocks
 
-SHINGLE, SIMILARITY, BANDS, ROWS, HUB_ROUNDS, SMALL_SET = 5, 0.8, 24, 4, 2, 500_000
+SHINGLE, SIMILARITY, BANDS, ROWS, HUB_ROUNDS, SMALL_SET = 5, 0.8, 32, 5, 2, 500_000
 REGISTERS = BANDS * ROWS
 
 _U = np.uint64
@@ -111,11 +113,13 @@ def _sketch(b: Block) -> list:
 
 
 def _grams(b: Block) -> list:
-    """Each text's multiset as a set: the j-th copy of a shingle is an element of its own."""
+    """Each text's multiset as a set of 32-bit hashes: the j-th copy of a shingle is an element of its own. Within a pair of
+    texts of 10,000 shingles each, 0.02 elements are expected to collide."""
     doc, key, weight = shingles(b)
     src = np.repeat(np.arange(len(doc)), weight)
     turn = np.arange(len(src)) - np.repeat(np.cumsum(weight) - weight, weight)
-    item = mix(key[src] + turn.astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+    item = mix(key[src] + turn.astype(_U) * _U(0x9E3779B97F4A7C15))
+    item = (item >> _U(32)).astype(np.uint32).view(np.int32)
     cut = np.searchsorted(doc[src], np.arange(b.n + 1))
     return [[item[a:z] for a, z in zip(cut, cut[1:], strict=False)]]
 
@@ -126,14 +130,17 @@ def _semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+def _alike(x: str, y: str) -> Column:
+    shared = F.size(F.array_intersect(x, y))
+    return shared >= SIMILARITY * (F.size(x) + F.size(y) - shared)
+
+
 def _verified(edges: DataFrame, grams: DataFrame) -> DataFrame:
     """a, b, ok of every edge."""
     left = grams.select(F.col("doc_id").alias("a"), F.col("g").alias("ga"))
     right = grams.select(F.col("doc_id").alias("b"), F.col("g").alias("gb"))
     both = edges.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    ok = shared >= SIMILARITY * (F.size("ga") + F.size("gb") - shared)
-    return both.select("a", "b", ok.alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok"))
+    return both.select("a", "b", _alike("ga", "gb").alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -152,17 +159,24 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """bucket, doc_id, n and comp of the members of buckets that hold more than one component."""
+    placed = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return placed.join(several, "bucket", "left_semi")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, a row for every row: the smallest doc_id of the document's class."""
     sig = durable(map_blocks(docs, {"doc_id": F.col("doc_id").cast("long")}, F.col("text"), _sketch, [T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]), "sketch")
     real = sig.where("n > 0 and doc_id is not null")
     reps = durable(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    nodes = real.join(reps.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"]).select("doc_id", "copies", F.explode("bands").alias("bucket"))
+    nodes = real.join(reps.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"]).select("doc_id", "copies", "n", F.explode("bands").alias("bucket"))
     order = F.struct((-F.col("copies")).alias("c"), F.col("doc_id").alias("d"))
     seat = nodes.groupBy("bucket").agg(F.min(order).alias("hub"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket", "hub")
-    members = durable(nodes.join(seat, "bucket").select("bucket", "doc_id", "copies", F.col("hub.d").alias("hub")), "members")
+    members = durable(nodes.join(seat, "bucket").select("bucket", "doc_id", "copies", "n", F.col("hub.d").alias("hub")), "members")
     asked = durable(members.select("doc_id").distinct(), "asked")
-    grams = durable(map_blocks(_semi(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), asked, "doc_id"), {"doc_id": F.col("doc_id")}, F.col("text"), _grams, [T.StructField("g", T.ArrayType(T.LongType()))]), "grams")
+    grams = durable(map_blocks(_semi(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), asked, "doc_id"), {"doc_id": F.col("doc_id")}, F.col("text"), _grams, [T.StructField("g", T.ArrayType(T.IntegerType()))]), "grams")
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     known = None
@@ -178,17 +192,20 @@ def classes(docs: DataFrame) -> DataFrame:
         rest = durable(seen.join(taken, ["a", "b"], "left_anti").select("bucket", "doc_id", "copies"), "rest")
         seat = rest.groupBy("bucket").agg(F.min(order).alias("hub")).select("bucket", F.col("hub.d").alias("hub"))
         rest = rest.join(seat, "bucket")
+    # What could still be a link: pairs of one bucket, in different components, with sizes that admit it and a second band
+    # in common. They are verified inside the join, so that only links leave it.
     comp = components(known.where("ok"))
-    # Pairs of one bucket in different components: all that could still be a link.
-    placed = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    placed = placed.join(mixed, "bucket", "left_semi")
-    other = placed.withColumnsRenamed({"doc_id": "doc_2", "comp": "comp_2"})
-    open_ = placed.join(other, "bucket").where("comp < comp_2").select(*pair(F.col("doc_id"), F.col("doc_2"))).distinct()
-    open_ = open_.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = durable(_verified(open_, grams).where("ok"), "verified")
+    placed = _mixed(members, comp)
+    all_of = placed.groupBy("doc_id").agg(F.collect_set("bucket").alias("all")).where(F.size("all") > 1)  # BANDS at most
+    placed = placed.join(all_of, "doc_id").join(grams, "doc_id")
+    other = placed.withColumnsRenamed({"bucket": "bucket_2", "doc_id": "doc_2", "comp": "comp_2", "n": "n_2", "all": "all_2", "g": "g_2"})
+    fits = (F.least("n", "n_2") >= SIMILARITY * F.greatest("n", "n_2")) & (F.col("comp") < F.col("comp_2"))
+    shared = F.array_intersect("all", "all_2")
+    twice = (F.size(shared) > 1) & (F.array_min(shared) == F.col("bucket"))  # met once: in the smallest bucket of both
+    more = placed.join(other, (F.col("bucket") == F.col("bucket_2")) & fits & twice & _alike("g", "g_2")).select(*pair(F.col("doc_id"), F.col("doc_2")))
+    more = durable(more.distinct(), "verified")
     if more.limit(1).count():
-        comp = components(known.where("ok").select("a", "b").unionByName(more.select("a", "b")))
+        comp = components(known.where("ok").select("a", "b").unionByName(more))
     named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("class"))
     out = sig.join(named, ["k1", "k2"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
