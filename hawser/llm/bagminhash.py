@@ -83,7 +83,7 @@ def signatures(n: int, doc: np.ndarray, key: np.ndarray, weight: np.ndarray) ->
         idx = np.flatnonzero(todo)
         time, step = np.zeros(len(idx)), 0
         while len(idx):
-            h = mix(seed[idx] + _U(step + 1) * _U(0xD1342543DE82EF95))
+            h = mix(seed[idx] + _U((step + 1) * 0xD1342543DE82EF95 % 2**64))
             time = time - np.log(_unit(h)) / width[idx]
             near = time <= horizon[where[idx]]
             idx, time, h = idx[near], time[near], h[near]

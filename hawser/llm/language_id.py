@@ -151,7 +151,8 @@ def _sum(frames):
     for f in frames:
         for lang, part in f.groupby("lang"):
             total[lang] = total.get(lang, 0) + np.array(part.v.tolist(), float).sum(0)
-    yield pd.DataFrame({"lang": list(total), "v": [v.tolist() for v in total.values()]})
+    if total:
+        yield pd.DataFrame({"lang": list(total), "v": [v.tolist() for v in total.values()]})
 
 
 def predict(docs: DataFrame, profiles: Profiles, keep: dict[str, Column]) -> DataFrame:
