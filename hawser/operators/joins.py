@@ -70,3 +70,10 @@ def permissions_for(rows: DataFrame, permissions: DataFrame, also: list[str] | N
 def shadowed(entries: DataFrame, mounts: DataFrame) -> DataFrame:
     """Directory entries not hidden by a virtual mount of the same path, plus the mounts. entries and mounts: path, ..."""
     return entries.join(mounts.select("path"), "path", "left_anti").unionByName(mounts, allowMissingColumns=True)
+
+
+def screened(events: DataFrame, entries: DataFrame, ip: str = "ip", protocol: str | None = "protocol") -> DataFrame:
+    """Events with a verdict from the lists (mode 1 allow, 2 deny; the longest prefix decides): ``safe``, ``denied`` or ``scored``.
+    Only the last kind is for the abuse detector."""
+    found = longest_prefix(events, entries, ip, protocol)
+    return found.withColumn("verdict", F.when(F.col("mode") == 1, "safe").when(F.col("mode") == 2, "denied").otherwise("scored")).drop("mode", "cidr")

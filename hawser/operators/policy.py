@@ -83,7 +83,14 @@ def share_usable(now_ms: Column, ip: Column) -> Column:
 def file_allowed(name: Column, allowed: list[str], denied: list[str]) -> Column:
     """Name against deny, then allow patterns (any case); an allow list denies what it does not name."""
     low = F.lower(name)
-    hit = lambda ps: F.coalesce(F.greatest(*[low.rlike(r) for p in ps if (r := glob.to_regex(p.lower()))], F.lit(False)), F.lit(False))
+
+    def hit(patterns: list[str]) -> Column:
+        found = F.lit(False)
+        for p in patterns:
+            if regex := glob.to_regex(p.lower()):
+                found = found | low.rlike(regex)
+        return found
+
     return F.when(hit(denied), False).when(F.lit(bool(allowed)), hit(allowed)).otherwise(True)
 
 
@@ -102,3 +109,8 @@ def visible(entries: DataFrame, rules: list[dict]) -> DataFrame:
 def has_upload_space(size: Column, limit_ul: Column, used_ul: Column, limit_total: Column, used_total: Column) -> Column:
     """Room under the upload and the total limit (0: none)."""
     return ((limit_total == 0) | (used_total + size <= limit_total)) & ((limit_total > 0) | (limit_ul == 0) | (used_ul + size <= limit_ul))
+
+
+def has_download_space(size: Column, limit_dl: Column, used_dl: Column, limit_total: Column, used_total: Column) -> Column:
+    """The same for downloads."""
+    return has_upload_space(size, limit_dl, used_dl, limit_total, used_total)

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from hawser import queries as core
+from hawser import queries_more  # noqa: F401  (adds to core)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
