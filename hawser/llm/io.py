@@ -15,6 +15,9 @@ from ..ship import ship
 from ._vec import blocks
 
 
+_own: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,8 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one of ours only where it is unset (local tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="hawser-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="hawser-"))
     return at.rstrip("/")
 
 
