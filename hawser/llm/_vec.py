@@ -16,7 +16,26 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.Generator(np.random.PCG64(20240101)).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+_STEP = 4096
+
+
+def _low(base: int) -> np.ndarray:
+    return np.array([pow(base, i, 1 << 64) for i in range(_STEP)], _U)
+
+
+#: Powers of the base and of its inverse: those below _STEP, and those of multiples of _STEP as far as needed so far.
+_lows = [_low(_BASE), _low(_INV)]
+_highs = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def _pow(at: np.ndarray, which: int, n: int) -> np.ndarray:
+    """base ** at (which 0) or inverse ** at (1), modulo 2 ** 64, for places below n."""
+    while len(_highs[which]) * _STEP < n:
+        have = _highs[which]
+        step = pow((_BASE, _INV)[which], _STEP * len(have), 1 << 64)
+        _highs[which] = np.concatenate([have, have * _U(step)])
+    return _lows[which][at & (_STEP - 1)] * _highs[which][at // _STEP]
+
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,15 +52,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    while len(_powers[0]) < n:
-        for k, base in ((0, _BASE), (1, _INV)):
-            have = _powers[k]
-            step = _U(pow(base, len(have), 1 << 64))
-            _powers[k] = np.concatenate([have, have * step])
-    return _powers[0][:n], _powers[1][:n]
-
-
 class Block:
     """Whole documents laid end to end. ``buf``: bytes; ``offs``: where each document starts, and the end."""
 
@@ -78,11 +88,14 @@ class Block:
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Content hash of each byte range."""
-        up, down = _pow(len(self.buf) + 1)
+        n = len(self.buf)
         if self._prefix is None:
-            self._prefix = np.zeros(len(self.buf) + 1, _U)
-            np.cumsum(_TABLE[self.buf] * up[:-1], out=self._prefix[1:])
-        h = (self._prefix[end] - self._prefix[start]) * down[start]
+            self._prefix = np.zeros(n + 1, _U)
+            for at in range(0, n, BLOCK_BYTES):
+                part = _TABLE[self.buf[at : at + BLOCK_BYTES]] * _pow(np.arange(at, min(n, at + BLOCK_BYTES)), 0, n + 1)
+                np.cumsum(part, out=self._prefix[at + 1 : at + 1 + len(part)])
+                self._prefix[at + 1 : at + 1 + len(part)] += self._prefix[at]
+        h = (self._prefix[end] - self._prefix[start]) * _pow(start, 1, n + 1)
         return mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

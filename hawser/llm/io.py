@@ -40,6 +40,12 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> bool:
+    """Deletes all intermediate tables of this library in the shared folder; frames that read them are of no use then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/hawser")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo; a null key is fold 0."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(modulus)).cast("int"), F.lit(0))

@@ -34,7 +34,7 @@ ALPHABET = 1 << 13
 @functools.cache
 def _folding() -> np.ndarray:
     """Code point (basic plane) to lower-cased letter, or 0."""
-    out = np.zeros(0x10000, np.int64)
+    out = np.zeros(0x10000, np.int32)
     for c in range(0x10000):
         s = chr(c)
         if s.isalpha():
@@ -52,49 +52,56 @@ def _letters() -> np.ndarray:
 def _symbols(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """Letters of all documents with single spaces (0) between and around words, and each one's document."""
     try:
-        cps = np.frombuffer(b.buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+        cps = np.frombuffer(b.buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         lens = b.per_doc(NOT_CONTINUATION[b.buf])
     except UnicodeDecodeError:
-        each = [np.frombuffer(b.text(k).encode("utf-32-le"), np.uint32).astype(np.int64) for k in range(b.n)]
+        each = [np.frombuffer(b.text(k).encode("utf-32-le"), np.uint32) for k in range(b.n)]
         cps, lens = np.concatenate(each), np.array([len(x) for x in each])
     sym = _folding()[np.minimum(cps, 0xFFFF)]
     beyond = np.flatnonzero(cps > 0xFFFF)
     if len(beyond):
         sym[beyond] = [ord(chr(c).lower()) if chr(c).isalpha() and len(chr(c).lower()) == 1 else 0 for c in cps[beyond].tolist()]
-    doc = np.repeat(np.arange(b.n), lens)
+    doc = np.repeat(np.arange(b.n, dtype=np.int32), lens)
     # A space before each document, and one after the last.
     at = np.concatenate([[0], np.cumsum(lens)])
     sym = np.insert(sym, at, 0)
-    doc = np.insert(doc, at, np.minimum(np.arange(b.n + 1), max(b.n - 1, 0)))
+    doc = np.insert(doc, at, np.minimum(np.arange(b.n + 1, dtype=np.int32), max(b.n - 1, 0)))
     keep = (sym != 0) | np.concatenate([[True], sym[:-1] != 0])
     sym, doc = sym[keep], doc[keep]
     sym = np.where(sym >= ALPHABET, 1 + sym % (ALPHABET - 1), sym)
     return sym, doc
 
 
+def _add(out: np.ndarray, letters: np.ndarray, code: np.ndarray, doc: np.ndarray) -> None:
+    """Adds the bound vectors of trigrams to their documents' bundles, in tables of 512 documents x 4096 trigrams at most."""
+    grams, which = np.unique(code, return_inverse=True)
+    pair, count = np.unique(doc * len(grams) + which, return_counts=True)
+    owner, gram = pair // len(grams), pair % len(grams)
+    for lo in range(0, len(grams), 4096):
+        g = grams[lo : lo + 4096]
+        first, second, third = letters[g // ALPHABET // ALPHABET], letters[g // ALPHABET % ALPHABET], letters[g % ALPHABET]
+        vec = (np.roll(first, 2, 1) * np.roll(second, 1, 1) * third).astype(np.float32)
+        mine = (gram >= lo) & (gram < lo + 4096)
+        rows, at = np.unique(owner[mine], return_inverse=True)
+        column, n = gram[mine] - lo, count[mine]
+        for part in range(0, len(rows), 512):
+            inside = (at >= part) & (at < part + 512)
+            table = np.zeros((min(512, len(rows) - part), len(g)), np.float32)
+            table[at[inside] - part, column[inside]] = n[inside]
+            out[rows[part : part + 512]] += table @ vec
+
+
 def bundle(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """The vector of each document (documents x DIM, float32) and whether it has a letter."""
     sym, doc = _symbols(b)
     has = np.bincount(doc[sym != 0], minlength=b.n) > 0
     out = np.zeros((b.n, DIM), np.float32)
     mid = np.flatnonzero(sym[1:-1] != 0) + 1 if len(sym) > 2 else np.zeros(0, np.int64)
-    if len(mid):
-        code = (sym[mid - 1] * ALPHABET + sym[mid]) * ALPHABET + sym[mid + 1]
-        grams, which = np.unique(code, return_inverse=True)
-        pair, count = np.unique(doc[mid] * len(grams) + which, return_counts=True)
-        letters = _letters()
-        for lo in range(0, len(grams), 4096):
-            g = grams[lo : lo + 4096]
-            first, second, third = letters[g // ALPHABET // ALPHABET], letters[g // ALPHABET % ALPHABET], letters[g % ALPHABET]
-            vec = (np.roll(first, 2, 1) * np.roll(second, 1, 1) * third).astype(np.float32)
-            mine = pair[(pair % len(grams) >= lo) & (pair % len(grams) < lo + 4096)]
-            n = count[(pair % len(grams) >= lo) & (pair % len(grams) < lo + 4096)]
-            rows, at = np.unique(mine // len(grams), return_inverse=True)
-            for part in range(0, len(rows), 512):  # a dense count table of 512 x 4096 at most
-                inside = (at >= part) & (at < part + 512)
-                table = np.zeros((min(512, len(rows) - part), len(g)), np.float32)
-                table[at[inside] - part, mine[inside] % len(grams) - lo] = n[inside]
-                out[rows[part : part + 512]] += table @ vec
+    letters = _letters()
+    for at in range(0, len(mid), 1 << 20):
+        part = mid[at : at + (1 << 20)]
+        left, here, right = (sym[part + k].astype(np.int64) for k in (-1, 0, 1))
+        _add(out, letters, (left * ALPHABET + here) * ALPHABET + right, doc[part].astype(np.int64))
     return out, has
 
 

@@ -429,6 +429,14 @@ def test_pipeline(spark):
     assert len(out) and (out.n_tokens == out.ids.map(len)).all()
 
 
+def test_work_folder(spark):
+    from hawser.llm import io
+
+    t = io.durable(spark.range(3), "t")
+    assert t.count() == 3 and io.release(spark)
+    assert io.durable(spark.range(2), "t").count() == 2
+
+
 def test_pipeline_stages_keep_columns(spark, edge):
     import corpus_pipeline
 
