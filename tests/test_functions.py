@@ -119,3 +119,13 @@ def test_networks(spark):
     b = spark.createDataFrame([("10.0.0.0/8",), ("2001:db8::/32",), ("bad",)], "c string").select(net.network_bounds("c").alias("b")).collect()
     assert b[0]["b"]["last"] == bytes([10, 255, 255, 255]) and b[1]["b"]["version"] == 6 and b[2]["b"]["first"] is None
     assert value(spark, net.login_allowed(F.lit("x"), F.array(), F.array(F.lit("0.0.0.0/0")))) is True
+
+
+def test_names_and_addresses(spark):
+    ok = lambda c: value(spark, c)
+    assert ok(text.name_valid(F.lit("José 7"))) and not ok(text.name_valid(F.lit("a\u0007b"))) and not ok(text.name_valid(F.lit("  ")))
+    assert ok(text.email_valid(F.lit("a.b+c@host.example"))) and not ok(text.email_valid(F.lit("a@b"))) and not ok(text.email_valid(F.lit("a b@c.d")))
+    assert ok(text.http_class(F.lit(204))) == "ok" and ok(text.http_class(F.lit(302))) == "other"
+    assert ok(text.size_si(F.lit(1_234_000).cast("long"))) == "1.234 MB"
+    assert ok(text.throttle_wait_ms(F.lit(10240), F.lit(5), F.lit(500))) == 1500
+    assert ok(net.bandwidth_for(F.lit("10.0.0.1"), F.array(F.struct(F.array(F.lit("10.0.0.0/8")).alias("sources"), F.lit(9).alias("limit"))), F.lit(1))) == 9
