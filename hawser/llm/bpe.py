@@ -18,6 +18,7 @@ import base64
 import hashlib
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..ship import ship
+from .io import small_batches
 
-CACHE, PIECES_AT_ONCE, MEMO = 400_000, 200_000, 1_000_000
+CACHE, PIECES_AT_ONCE, MEMO = 200_000, 100_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,12 +44,12 @@ class Encoder:
         space = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.split = regex.compile(space).findall
         self.byte = [ranks.get(bytes([i])) for i in range(256)]
-        self.memo: dict[tuple[int, int], int] = {}
+        self.memo: dict[int, int] = {}
         self.known: dict[str, str] = {}
 
     def _merged(self, a: int, b: int) -> int:
         """Rank of the token that a and b make, or -1."""
-        key = (a, b)
+        key = a << 32 | b
         r = self.memo.get(key)
         if r is None:
             if len(self.memo) >= MEMO:
@@ -172,6 +174,7 @@ def _texts(rb: pa.RecordBatch, column: int, limit: int = 1 << 21):
 
 def _mapped(df: DataFrame, keep: dict[str, Column], text: Column, ranks: dict[bytes, int], pattern: str, make, fields: list[T.StructField]) -> DataFrame:
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     src = df.select(*[c.alias(k) for k, c in keep.items()], text.cast("string").alias("__text"))
     kept, names = list(keep), [f.name for f in fields]
     schema = T.StructType([*[src.schema[k] for k in kept], *fields])
@@ -190,7 +193,7 @@ def _mapped(df: DataFrame, keep: dict[str, Column], text: Column, ranks: dict[by
 
 def _ids(enc: Encoder, texts: list[str]):
     for s in enc.encode(texts):
-        ids = [int(x) for x in s.split(",")] if s else []
+        ids = np.fromstring(s, np.int32, sep=",") if s else np.zeros(0, np.int32)
         yield len(ids), ids
 
 

@@ -15,6 +15,8 @@ from ..ship import ship
 from ._vec import blocks
 
 
+BATCH_BYTES = 4 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -60,6 +62,12 @@ def chosen(key: Column, rate: float, seed: int = 7) -> Column:
     return F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1_000_000)) < F.lit(int(round(rate * 1_000_000)))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES to Python: they bound what a task holds, on either side of the pipe."""
+    if int(str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_blocks(df: DataFrame, keep: dict[str, Column], text: Column, fn, fields: list[T.StructField]) -> DataFrame:
     """``keep`` columns plus what ``fn(Block) -> list of arrays`` computes of the texts, a block at a time.
 
@@ -67,6 +75,7 @@ def map_blocks(df: DataFrame, keep: dict[str, Column], text: Column, fn, fields:
     named are read, so further columns of the table, whatever their names, neither travel nor clash.
     """
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     src = df.select(*[c.alias(k) for k, c in keep.items()], text.cast("string").alias("__text"))
     names, kept = [f.name for f in fields], list(keep)
     schema = T.StructType([*[src.schema[k] for k in kept], *fields])

@@ -27,7 +27,7 @@ from ..ship import ship
 from ._vec import WHITE
 from .io import durable, map_blocks
 
-SHARE, CAP, WEIGHTS, SHARD_ROWS, SEED = 1.5, 2.0, (5, 2, 1), 20_000, 17
+SHARE, CAP, WEIGHTS, SHARD_ROWS, SEED = 1.5, 2.0, (5, 2, 1), 4096, 17
 
 
 def apportion(votes: np.ndarray, seats: int) -> np.ndarray:
@@ -40,14 +40,19 @@ def apportion(votes: np.ndarray, seats: int) -> np.ndarray:
     got = np.floor(votes * (seats / total) + 0.5).astype(np.int64)
     left = int(seats - got.sum())
     if left > 0:
-        heap = [(-v / (2 * s + 1), i) for i, (v, s) in enumerate(zip(votes, got.tolist(), strict=True)) if v > 0]
+        next_ = np.where(votes > 0, votes / (2 * got + 1), -1.0)
+        # Only a party among the ``left`` best next quotients (or tied with them) can gain.
+        edge = np.partition(next_, max(0, len(next_) - left))[max(0, len(next_) - left)]
+        heap = [(-float(next_[i]), int(i)) for i in np.flatnonzero((next_ >= edge) & (votes > 0))]
         heapq.heapify(heap)
         for _ in range(left):
             _, i = heap[0]
             got[i] += 1
             heapq.heapreplace(heap, (-votes[i] / (2 * int(got[i]) + 1), i))
     elif left < 0:
-        heap = [(v / (2 * s - 1), -i) for i, (v, s) in enumerate(zip(votes, got.tolist(), strict=True)) if s > 0]
+        last = np.where(got > 0, votes / np.maximum(2 * got - 1, 1), np.inf)
+        edge = np.partition(last, min(len(last), -left) - 1)[min(len(last), -left) - 1]
+        heap = [(float(last[i]), -int(i)) for i in np.flatnonzero((last <= edge) & (got > 0))]
         heapq.heapify(heap)
         for _ in range(-left):
             _, k = heapq.heappop(heap)

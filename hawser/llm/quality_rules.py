@@ -27,7 +27,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 DIMS = ["z_words", "z_len", "z_symbols", "z_lines", "z_repeat"]
 #: Least standard deviation of each transformed statistic.
 FLOOR = [0.5, 0.08, 0.5, 1.0, 1.0]
-HALF, STEPS, MIN_ROWS = 0.75, 3, 200
+HALF, STEPS, MIN_ROWS, BROADCAST_GROUPS = 0.75, 3, 200, 10_000
 #: Chi-square with 5 degrees of freedom: its median, and its 0.99999 quantile, beyond which a row is an outlier.
 CHI2_MEDIAN, CUTOFF = 4.351, 30.86
 
@@ -66,7 +66,13 @@ def _grouped(z: DataFrame) -> DataFrame:
         F.col("lang").alias("c_lang"), F.col("source").alias("c_source"),
         F.when(~F.col("small"), tag(F.lit("cell").alias("k"), "lang", "source")).when(F.col("n_rest") >= MIN_ROWS, tag(F.lit("lang").alias("k"), "lang")).otherwise(F.lit("rest")).alias("g"),
     )
-    return z.join(cell, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_lang", "c_source")
+    cell = durable(cell, "cells")
+    return _by_group(z, cell, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source")), cell.count(), "left").drop("c_lang", "c_source")
+
+
+def _by_group(rows: DataFrame, table: DataFrame, condition, groups: int, how: str = "inner") -> DataFrame:
+    """A join with a table of one row a group: broadcast if there are at most BROADCAST_GROUPS (under 1 kB a row), else shuffled."""
+    return rows.join(F.broadcast(table) if groups <= BROADCAST_GROUPS else table, condition, how)
 
 
 _PARAMS = "g string, n long, m array<double>, p array<double>"
@@ -108,14 +114,15 @@ def estimates(z: DataFrame) -> DataFrame:
     var = [F.greatest(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2, F.lit(FLOOR[i] ** 2)) for i in range(d)]
     flat = [1.0 / var[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)]
     params = durable(start.select("g", "n", F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("m"), F.array(*flat).alias("p")), "mcd")
+    groups = params.count()
     for _ in range(STEPS):
-        at = z.join(params, "g").withColumn("d2", _distance())
+        at = _by_group(z, params, "g", groups).withColumn("d2", _distance())
         cut = at.groupBy("g").agg(F.percentile_approx("d2", F.lit(HALF), 1000).alias("cut")).withColumnRenamed("g", "cut_g")
-        near = at.join(cut, F.col("g") == F.col("cut_g")).where(F.col("d2") <= F.col("cut"))
+        near = _by_group(at, cut, F.col("g") == F.col("cut_g"), groups).where(F.col("d2") <= F.col("cut"))
         sums = [F.sum(k) for k in DIMS] + [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])) for i in range(d) for j in range(i, d)]
         moments = near.groupBy("g").agg(F.max("n").alias("n"), F.count("*").alias("h"), F.array(*sums).alias("s"))
         params = durable(moments.mapInPandas(_estimate, _PARAMS), "mcd")
-    med = z.join(params, "g").withColumn("d2", _distance()).groupBy("g").agg(F.percentile_approx("d2", 0.5, 1000).alias("med")).withColumnRenamed("g", "med_g")
+    med = _by_group(z, params, "g", groups).withColumn("d2", _distance()).groupBy("g").agg(F.percentile_approx("d2", 0.5, 1000).alias("med")).withColumnRenamed("g", "med_g")
     return params.join(med, F.col("g") == F.col("med_g")).drop("med_g")
 
 
@@ -123,12 +130,12 @@ def apply(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the squared robust distance (null: no verdict)."""
     stats = durable(statistics(docs), "stats")
     z = _grouped(transformed(stats))
-    params = estimates(z).where(F.col("n") >= MIN_ROWS)
+    params = durable(estimates(z).where(F.col("n") >= MIN_ROWS), "mcd")
     # Distances are scaled down where the bulk is wider than the estimate says, never up.
     scaled = F.col("d2") * F.least(F.lit(1.0), F.lit(CHI2_MEDIAN) / F.greatest(F.col("med"), F.lit(1e-9)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        z.join(params.withColumnRenamed("n", "group_rows"), "g", "left")
+        _by_group(z, params.withColumnRenamed("n", "group_rows"), "g", params.count(), "left")
         .withColumn("d2", _distance())
         .withColumn("distance2", scaled)
         .withColumn("base_failed", failed)
