@@ -11,17 +11,14 @@ from pyspark.sql import types as T
 
 #: Protocol bits; 0 stands for all.
 PROTOCOLS = {"SSH": 1, "FTP": 2, "DAV": 4, "HTTP": 8}
-_V4 = r"^(?:::ffff:)?(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
+_V4 = rf"^(?i:::ffff:)?{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 
 def v4(ip: Column) -> Column:
     """Long value of a dotted or IPv4-mapped address; null for anything else."""
-    parts = [F.regexp_extract(F.lower(ip), _V4, k) for k in range(1, 5)]
-    ok = parts[0] != ""
-    nums = [p.try_cast("int") for p in parts]
-    for n in nums:
-        ok = ok & (n <= 255)
-    return F.when(ok, nums[0].cast("long") * 16777216 + nums[1] * 65536 + nums[2] * 256 + nums[3])
+    parts = F.split(F.regexp_replace(ip, "^(?i:::ffff:)", ""), r"\.")
+    return F.when(ip.rlike(_V4), F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n * 256 + x.cast("long")))
 
 
 def v4_text(n: Column) -> Column:
