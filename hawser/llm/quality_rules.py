@@ -1,9 +1,11 @@
 """Quality rules: base thresholds, then robust multivariate outliers per language and source.
 
 The statistic vector of a document is transformed (logs), and every (lang, source) group gets a minimum-covariance-
-determinant estimate: starting from medians and interquartile ranges, concentration steps re-estimate mean and
-covariance from the ``HALF`` share of rows with the smallest Mahalanobis distance. All rows take part in every step;
-the steps are grouped aggregates with map-side partial sums, so a group that holds a third of all rows is no hot key.
+determinant estimate: from each of five starts (medians with MADs, tanh and spatial-sign shapes or interquartile ranges;
+mean and covariance), concentration steps re-estimate mean and covariance from the ``HALF`` share of rows with the
+smallest Mahalanobis distance until the log determinant falls by no more than ``TOLERANCE``; the start that ends at the
+smallest determinant is taken. All rows take part in every step; the steps are grouped aggregates with map-side partial
+sums, so a group that holds a third of all rows is no hot key.
 The covariance is regularised by FLOOR (a statistic that is constant in a group must not make any deviation infinite).
 Groups of under MIN_ROWS rows are pooled per language, then over all languages; a pool that is still smaller has no
 verdict, so its documents pass.
@@ -27,7 +29,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 DIMS = ["z_words", "z_len", "z_symbols", "z_lines", "z_repeat"]
 #: Least standard deviation of each transformed statistic.
 FLOOR = [0.5, 0.08, 0.5, 1.0, 1.0]
-HALF, STEPS, MIN_ROWS, BROADCAST_GROUPS = 0.75, 3, 200, 10_000
+HALF, TOLERANCE, MIN_ROWS, BROADCAST_GROUPS = 0.5, 1e-3, 200, 10_000
 #: Chi-square with 5 degrees of freedom: its median, and its 0.99999 quantile, beyond which a row is an outlier.
 CHI2_MEDIAN, CUTOFF = 4.351, 30.86
 
@@ -75,25 +77,50 @@ def _by_group(rows: DataFrame, table: DataFrame, condition, groups: int, how: st
     return rows.join(F.broadcast(table) if groups <= BROADCAST_GROUPS else table, condition, how)
 
 
-_PARAMS = "g string, n long, m array<double>, p array<double>"
+_PARAMS = "g string, s int, n long, m array<double>, p array<double>, ld double"
+PAIRS = [(i, j) for i in range(len(DIMS)) for j in range(i, len(DIMS))]
 
 
-def _estimate(frames):
-    """Group sums to mean and inverse covariance, a row of sums at a time."""
+def _square(upper: np.ndarray) -> np.ndarray:
+    full = np.zeros((len(DIMS), len(DIMS)))
+    for (i, j), x in zip(PAIRS, upper, strict=True):
+        full[i, j] = full[j, i] = x
+    return full
+
+
+def _row(g, s, n, mean, cov, det: bool):
+    """One estimate: the inverse of the regularised covariance and, of a concentrated subset, its log determinant."""
+    cov = cov + np.diag(np.square(FLOOR))
+    return g, int(s), int(n), mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]) if det else np.inf
+
+
+def _moments(mean_sums, cross_sums, count):
+    mean = np.array(mean_sums, float) / count
+    return mean, _square(np.array(cross_sums, float) / count) - np.outer(mean, mean)
+
+
+def _starts(frames):
+    """Five starts of every group: median with MADs, tanh and spatial-sign shapes, IQRs; mean with covariance."""
     d = len(DIMS)
-    floor = np.diag(np.square(FLOOR))
     for f in frames:
         out = []
         for r in f.itertuples(index=False):
-            s = np.array(r.s, float)
-            mean = s[:d] / r.h
-            second = np.zeros((d, d))
-            second[np.triu_indices(d)] = s[d:] / r.h
-            second = second + np.triu(second, 1).T
-            cov = second - np.outer(mean, mean)
-            # Concentration shrinks the spread; the factor is set by the last step's median instead.
-            out.append((r.g, int(r.n), mean.tolist(), np.linalg.inv(cov + floor).ravel().tolist()))
-        yield pd.DataFrame(out, columns=["g", "n", "m", "p"])
+            mid, mad, iqr = (np.array(x, float) for x in (r.mid, r.mad, r.iqr))
+            signs = _square(np.array(r.signs, float))
+            signs *= d / max(np.trace(signs), 1e-9)
+            covs = [np.diag(mad**2), np.outer(mad, mad) * _square(np.array(r.tanhs, float) / r.n), np.outer(mad, mad) * signs, np.diag(iqr**2)]
+            out += [_row(r.g, s, r.n, mid, c, False) for s, c in enumerate(covs)]
+            out.append(_row(r.g, len(covs), r.n, *_moments(r.sums, r.crosses, r.n), False))
+        yield pd.DataFrame(out, columns=["g", "s", "n", "m", "p", "ld"])
+
+
+def _estimate(frames):
+    """Sums over concentrated subsets to mean, inverse covariance and determinant, a row of sums at a time."""
+    d = len(DIMS)
+    for f in frames:
+        # Concentration shrinks the spread; the factor is set by the last median instead.
+        out = [_row(r.g, r.s, r.n, *_moments(r.sums[:d], r.sums[d:], r.h), True) for r in f.itertuples(index=False)]
+        yield pd.DataFrame(out, columns=["g", "s", "n", "m", "p", "ld"])
 
 
 def _distance():
@@ -106,22 +133,52 @@ def _distance():
     return total
 
 
+def _first(z: DataFrame) -> DataFrame:
+    """The starting estimates: g, s (number of the start), n, m, p, ld (infinite: not concentrated yet)."""
+    d = range(len(DIMS))
+    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    mid = z.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(k, q, 1000).alias(f"q{i}") for i, k in enumerate(DIMS)])
+    mid = durable(mid.select("g", "n", F.array(*[F.col(f"q{i}")[1] for i in d]).alias("mid"), F.array(*[(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in d]).alias("iqr")), "mcd")
+    groups = mid.count()
+    mads = _by_group(z, mid, "g", groups).groupBy("g").agg(F.array(*[1.4826 * F.percentile_approx(F.abs(F.col(k) - F.col("mid")[i]), 0.5, 1000) for i, k in enumerate(DIMS)]).alias("mad"))
+    mid = durable(mid.join(mads, "g"), "mcd")
+    u = [(F.col(k) - F.col("mid")[i]) / F.greatest(F.col("mad")[i], F.lit(FLOOR[i])) for i, k in enumerate(DIMS)]
+    at = _by_group(z, mid, "g", groups).select("g", *DIMS, *[x.alias(f"u{i}") for i, x in enumerate(u)])
+    at = at.withColumn("norm", F.greatest(sum((F.col(f"u{i}") * F.col(f"u{i}") for i in d), F.lit(0.0)), F.lit(1e-9)))
+    sums = at.groupBy("g").agg(
+        F.array(*[F.sum(F.tanh(f"u{i}") * F.tanh(f"u{j}")) for i, j in PAIRS]).alias("tanhs"),
+        F.array(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}") / F.col("norm")) for i, j in PAIRS]).alias("signs"),
+        F.array(*[F.sum(k) for k in DIMS]).alias("sums"),
+        F.array(*[F.sum(F.col(DIMS[i]) * F.col(DIMS[j])) for i, j in PAIRS]).alias("crosses"),
+    )
+    return mid.join(sums, "g").mapInPandas(_starts, _PARAMS)
+
+
 def estimates(z: DataFrame) -> DataFrame:
     """MCD parameters of every group: g, n, m (centre), p (inverse covariance, row by row), med (median distance)."""
     d = len(DIMS)
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    start = z.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(k, q, 1000).alias(f"q{i}") for i, k in enumerate(DIMS)])
-    var = [F.greatest(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2, F.lit(FLOOR[i] ** 2)) for i in range(d)]
-    flat = [1.0 / var[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)]
-    params = durable(start.select("g", "n", F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("m"), F.array(*flat).alias("p")), "mcd")
+    live, ended = durable(_first(z), "mcd"), []
+    # h of n rows is (n + d + 1) / 2, in steps of a twentieth: HALF of large groups, more of very small ones.
+    shares = [HALF + k / 20 for k in range(int((1 - HALF) * 20) + 1)]
+    step = F.ceil((F.col("n") + d + 1) / (2 * F.col("n")) * 20 - HALF * 20 - 0.1).cast("int")
+    sums = [F.sum(k) for k in DIMS] + [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])) for i, j in PAIRS]
+    while rows := live.count():
+        at = _by_group(z, live, "g", rows).withColumn("d2", _distance())
+        cut = at.groupBy("g", "s").agg(F.max("n").alias("n"), F.percentile_approx("d2", F.array(*map(F.lit, shares)), 1000).alias("cuts"))
+        cut = cut.select(F.col("g").alias("cut_g"), F.col("s").alias("cut_s"), F.col("cuts")[F.least(F.greatest(step, F.lit(0)), F.lit(len(shares) - 1))].alias("cut"))
+        near = _by_group(at, cut, (F.col("g") == F.col("cut_g")) & (F.col("s") == F.col("cut_s")), rows).where(F.col("d2") <= F.col("cut"))
+        moments = near.groupBy("g", "s").agg(F.max("n").alias("n"), F.count("*").alias("h"), F.array(*sums).alias("sums"))
+        was = live.select("g", "s", F.col("ld").alias("was"))
+        after = durable(moments.mapInPandas(_estimate, _PARAMS).join(was, ["g", "s"]), "mcd")
+        # Every further step lowers a determinant that the floor bounds from below, so this ends.
+        more = F.col("was") - F.col("ld") > TOLERANCE
+        ended.append(after.where(~more).drop("was"))
+        live = after.where(more).drop("was")
+    best = ended[0] if ended else live
+    for e in ended[1:]:
+        best = best.unionByName(e)
+    params = durable(best.groupBy("g").agg(F.min_by(F.struct("n", "m", "p"), F.struct("ld", "s")).alias("e")).select("g", "e.*"), "mcd")
     groups = params.count()
-    for _ in range(STEPS):
-        at = _by_group(z, params, "g", groups).withColumn("d2", _distance())
-        cut = at.groupBy("g").agg(F.percentile_approx("d2", F.lit(HALF), 1000).alias("cut")).withColumnRenamed("g", "cut_g")
-        near = _by_group(at, cut, F.col("g") == F.col("cut_g"), groups).where(F.col("d2") <= F.col("cut"))
-        sums = [F.sum(k) for k in DIMS] + [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])) for i in range(d) for j in range(i, d)]
-        moments = near.groupBy("g").agg(F.max("n").alias("n"), F.count("*").alias("h"), F.array(*sums).alias("s"))
-        params = durable(moments.mapInPandas(_estimate, _PARAMS), "mcd")
     med = _by_group(z, params, "g", groups).withColumn("d2", _distance()).groupBy("g").agg(F.percentile_approx("d2", 0.5, 1000).alias("med")).withColumnRenamed("g", "med_g")
     return params.join(med, F.col("g") == F.col("med_g")).drop("med_g")
 

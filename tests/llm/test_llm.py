@@ -203,6 +203,17 @@ def test_mcd_ignores_contamination(spark):
     assert np.allclose(m["m"], 3, atol=0.3)
 
 
+def test_quality_rules_third_of_group_is_outlying_copies(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(80, 300))), "en", "s") for i in range(600)]
+    copy = " ".join(word() + "#" * rng.randrange(2, 4) for _ in range(150))
+    rows += [(1000 + i, copy, "en", "s") for i in range(300)]
+    p = quality_rules.apply(make(spark, rows)).toPandas().set_index("doc_id")
+    assert not p.base_failed.any() and not p.kept[list(range(1000, 1300))].any()
+    assert p.kept[list(range(600))].mean() > 0.99
+
+
 def test_quality_rules_edges(spark, edge, empty):
     assert quality_rules.apply(edge).count() == 11 and quality_rules.apply(empty).count() == 0
 
