@@ -27,8 +27,9 @@ from .text_stats import base_stats
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 DIMS = ["z_words", "z_len", "z_symbols", "z_lines", "z_repeat"]
-#: Least standard deviation of each transformed statistic.
-FLOOR = [0.5, 0.08, 0.5, 1.0, 1.0]
+#: Least standard deviation of each transformed statistic. For shares of repetition it is that of about 0.4 in 100, so
+#: that a document far below the base thresholds can still be an outlier.
+FLOOR = [0.5, 0.08, 0.5, 0.35, 0.35]
 HALF, TOLERANCE, MIN_ROWS, BROADCAST_GROUPS = 0.5, 1e-3, 200, 10_000
 #: Chi-square with 5 degrees of freedom: its median, and its 0.99999 quantile, beyond which a row is an outlier.
 CHI2_MEDIAN, CUTOFF = 4.351, 30.86

@@ -214,6 +214,20 @@ def test_quality_rules_third_of_group_is_outlying_copies(spark):
     assert p.kept[list(range(600))].mean() > 0.99
 
 
+def test_quality_rules_repetition_below_base_thresholds(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    line = lambda: " ".join(word() for _ in range(10))
+    rows = [(i, "\n".join(line() for _ in range(rng.randrange(8, 30))), "en", "s") for i in range(500)]
+    for i in range(5):  # 19 distinct lines, one of them 9 times: 8 of 27 lines, 90 of 270 words
+        once = [line() for _ in range(19)]
+        rows.append((1000 + i, "\n".join(once + once[:1] * 8), "en", "s"))
+    p = quality_rules.apply(make(spark, rows)).toPandas().set_index("doc_id")
+    far = list(range(1000, 1005))
+    assert not p.base_failed[far].any() and not p.kept[far].any()
+    assert p.kept[list(range(500))].mean() > 0.99
+
+
 def test_quality_rules_edges(spark, edge, empty):
     assert quality_rules.apply(edge).count() == 11 and quality_rules.apply(empty).count() == 0
 
