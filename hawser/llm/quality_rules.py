@@ -7,8 +7,8 @@ smallest Mahalanobis distance until the log determinant falls by no more than ``
 smallest determinant is taken. All rows take part in every step; the steps are grouped aggregates with map-side partial
 sums, so a group that holds a third of all rows is no hot key.
 The covariance is regularised by FLOOR (a statistic that is constant in a group must not make any deviation infinite).
-Groups of under MIN_ROWS rows are pooled per language, then over all languages; a pool that is still smaller has no
-verdict, so its documents pass.
+Rows of groups of under MIN_ROWS rows are held against the estimate of their whole language, or of the whole table if the
+language is that small too; every row has a verdict, whatever the size of the table.
 
 Cases: null or empty text has no words and fails the base rule; null lang or source is a group of its own; repeated
 rows each get a row; other columns of the table are not read.
@@ -59,15 +59,22 @@ def transformed(stats: DataFrame) -> DataFrame:
 
 
 def _grouped(z: DataFrame) -> DataFrame:
-    """Adds ``g``: the group whose estimate a row is held against."""
-    cell = z.groupBy("lang", "source").count().withColumnRenamed("count", "n_cell")
-    cell = cell.withColumn("small", F.col("n_cell") < MIN_ROWS)
-    rest = cell.where("small").groupBy("lang").agg(F.sum("n_cell").alias("n_rest")).withColumnRenamed("lang", "r_lang")
-    cell = cell.join(rest, F.col("lang").eqNullSafe(F.col("r_lang")), "left")
+    """Adds ``g``, the group whose estimate a row is held against, and ``fits``, the groups whose estimates it enters.
+
+    A (lang, source) cell of under MIN_ROWS rows is held against its whole language, or against all rows if that is small
+    too; those estimates are of all rows of the language or table, not of the small cells alone.
+    """
     tag = lambda *c: F.to_json(F.struct(*c))
+    cell = z.groupBy("lang", "source").count().withColumnRenamed("count", "n_cell")
+    cell = durable(cell.withColumn("big", F.col("n_cell") >= MIN_ROWS), "cells")
+    of_lang = cell.groupBy(F.col("lang").alias("l_lang")).agg((F.sum("n_cell") >= MIN_ROWS).alias("l_big"), (~F.every("big")).alias("l_used"))
+    cell = cell.join(of_lang, F.col("lang").eqNullSafe(F.col("l_lang")))
+    any_small = F.lit(cell.where("NOT big AND NOT l_big").limit(1).count() > 0)
+    own, whole = tag(F.lit("cell").alias("k"), "lang", "source"), tag(F.lit("lang").alias("k"), "lang")
+    fits = F.array(F.when(F.col("big"), own), F.when(F.col("l_big") & F.col("l_used"), whole), F.when(any_small, F.lit("all")))
     cell = cell.select(
         F.col("lang").alias("c_lang"), F.col("source").alias("c_source"),
-        F.when(~F.col("small"), tag(F.lit("cell").alias("k"), "lang", "source")).when(F.col("n_rest") >= MIN_ROWS, tag(F.lit("lang").alias("k"), "lang")).otherwise(F.lit("rest")).alias("g"),
+        F.when(F.col("big"), own).when(F.col("l_big"), whole).otherwise(F.lit("all")).alias("g"), F.array_compact(fits).alias("fits"),
     )
     cell = durable(cell, "cells")
     return _by_group(z, cell, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source")), cell.count(), "left").drop("c_lang", "c_source")
@@ -185,10 +192,10 @@ def estimates(z: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, and the squared robust distance (null: no verdict)."""
+    """doc_id, the counts, base_failed, kept, and the squared robust distance."""
     stats = durable(statistics(docs), "stats")
     z = _grouped(transformed(stats))
-    params = durable(estimates(z).where(F.col("n") >= MIN_ROWS), "mcd")
+    params = durable(estimates(z.select(F.explode("fits").alias("g"), *DIMS)), "mcd")
     # Distances are scaled down where the bulk is wider than the estimate says, never up.
     scaled = F.col("d2") * F.least(F.lit(1.0), F.lit(CHI2_MEDIAN) / F.greatest(F.col("med"), F.lit(1e-9)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -197,6 +204,6 @@ def apply(docs: DataFrame) -> DataFrame:
         .withColumn("d2", _distance())
         .withColumn("distance2", scaled)
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
+        .withColumn("kept", ~failed & (F.col("distance2") <= CUTOFF))
         .select("doc_id", *COUNTS, "base_failed", "kept", "distance2")
     )

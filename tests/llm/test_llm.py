@@ -228,6 +228,18 @@ def test_quality_rules_repetition_below_base_thresholds(spark):
     assert p.kept[list(range(500))].mean() > 0.99
 
 
+@pytest.mark.parametrize("n", [60, 400])
+def test_quality_rules_judges_rows_of_small_groups(spark, n):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    text = lambda: " ".join(word() for _ in range(rng.randrange(80, 300)))
+    symbols = " ".join("".join(rng.choice("#$%&*!?=+~") for _ in range(5)) for _ in range(60))
+    rows = [(i, text(), "en", "s") for i in range(n)] + [(1000, symbols, None, "s"), (1001, symbols, "en", None), (1002, symbols, "xx", "s"), (1003, text(), None, None)]
+    p = quality_rules.apply(make(spark, rows)).toPandas().set_index("doc_id")
+    assert not p.base_failed.any() and p.distance2.notna().all()
+    assert not p.kept[[1000, 1001, 1002]].any() and p.kept[1003] and p.kept[list(range(n))].mean() > 0.98
+
+
 def test_quality_rules_edges(spark, edge, empty):
     assert quality_rules.apply(edge).count() == 11 and quality_rules.apply(empty).count() == 0
 
