@@ -12,8 +12,9 @@ composition) rewrites the token classes and their weights from left to right:
 A clause scores the sum of the weights left; a document's score is a logistic function of its clauses' scores. The
 insult transducer's vocabulary (words, and stems of 4 to 7 bytes) and weights are learned from labelled texts: the
 lower bound of the log odds that a token marks toxic texts. Half the sample learns the vocabulary, the other half the
-logistic function (the whole sample learns both where a half has under SPLIT_FROM toxic texts). The sample has at most about ``SAMPLE`` labelled rows, a documented bound; near copies within it
-count once, so that no single copied text makes vocabulary.
+logistic function (the whole sample learns both where a half has under SPLIT_FROM toxic texts). The sample has at most about ``SAMPLE`` labelled rows, a documented bound; near copies of
+one label within it (those that share the ``MINIMA`` smallest hashes of their word shingles) count once, so that no single
+copied text makes vocabulary.
 
 Cases: null and empty texts have no clause and get the score of a text without a match; no labelled rows: only the
 fixed vocabulary and default weights are used; repeated rows each get a row; ties cannot arise.
@@ -33,6 +34,7 @@ from .io import chosen, durable, map_blocks
 from .quality_classifier import labelled
 
 SAMPLE, REACH = 24_000, 4
+SHINGLE, MINIMA = 3, 4
 STEMS = (4, 5, 6, 7)
 TARGET_FACTOR, NEGATION_FACTOR, REPORT_FACTOR, THREAT_WEIGHT, SEED_WEIGHT = 1.5, 0.25, 0.5, 4.0, 2.0
 LEAST_LOG_ODDS, LEAST_COUNT, LEAST_SHARE, VOCABULARY, SPLIT_FROM = 2.0, 4, 0.01, 2000, 100
@@ -205,13 +207,19 @@ def _token_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pos), pa.array(neg)], names=["h", "pos", "neg"])
 
 
+def _copies_once(rows: DataFrame) -> DataFrame:
+    """One row of each group of near copies: same label, same MINIMA smallest hashes of SHINGLE-word shingles."""
+    words = F.split(F.coalesce("text", F.lit("")), r"\s+")
+    shingle = lambda k: F.xxhash64(F.concat_ws(" ", F.slice("words", k, SHINGLE)))
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (SHINGLE - 1), F.lit(1))), shingle)
+    rows = rows.withColumn("words", words).withColumn("sketch", F.slice(F.array_sort(F.array_distinct(hashes)), 1, MINIMA)).drop("words")
+    one = rows.groupBy("sketch", "y").agg(F.min("doc_id").alias("doc_id"))
+    return rows.join(one, ["sketch", "y", "doc_id"], "left_semi")
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = SAMPLE) -> Grammar:
     rows = labelled(docs, labels, "toxic", allowed, bound).where("y is not null")
-    # Near copies mostly share the smallest word hash; one of each such group is kept.
-    sketch = F.array_min(F.transform(F.split(F.col("text"), r"\s+"), lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("sketch", sketch)
-    one = rows.groupBy("sketch").agg(F.min("doc_id").alias("doc_id"))
-    rows = durable(rows.join(one, ["sketch", "doc_id"], "left_semi").select("doc_id", F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text")), "toxic")
+    rows = durable(_copies_once(rows).select("doc_id", F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text")), "toxic")
     half = chosen(F.col("doc_id"), 0.5, seed=13)
     n = {(r["half"], r["y"]): r["count"] for r in rows.groupBy(half.alias("half"), "y").count().collect()}
     split = n.get((True, 1), 0) >= SPLIT_FROM and n.get((False, 1), 0) > 0

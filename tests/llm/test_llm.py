@@ -113,6 +113,23 @@ def test_toxicity_edges(spark, edge, empty, labels):
     assert toxicity.score(empty, toxicity.fit(empty, labels, F.lit(True)), {"doc_id": F.col("doc_id")}).count() == 0
 
 
+def test_toxicity_learns_from_distinct_texts_that_share_words(spark):
+    rng = random.Random(17)
+    common = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(40)]
+
+    def text(word):
+        w = [*rng.sample(common, len(common)), word]
+        return " ".join(rng.sample(w, len(w)))
+
+    rows = [(i, text("zorgle" if i % 4 == 0 else "house"), "en", "s") for i in range(240)]
+    copied = text("vlimp")
+    rows += [(1000 + i, copied, "en", "s") for i in range(60)]
+    y = spark.createDataFrame([(r[0], 1, int(r[0] >= 1000 or r[0] % 4 == 0)) for r in rows], "doc_id long, quality int, toxic int")
+    g = toxicity.fit(make(spark, rows), y, F.lit(True))
+    s = g.score(block("you zorgle", "you house", "you vlimp"))
+    assert s[0] > s[1] == s[2]
+
+
 # ---- op2 ------------------------------------------------------------------------------------------------------------
 
 
