@@ -174,7 +174,13 @@ def test_near_duplicates_brute_force(spark):
             docs.append(" ".join(t))
         docs.append(" ".join(passage + [rng.choice(words) for _ in range(80)]))
     docs += [docs[0]] * 5 + ["tiny text", "tiny text", "tiny  text"]
-    got = dict(bagminhash.classes(make(spark, [(i, t, "en", "s") for i, t in enumerate(docs)])).toPandas().itertuples(index=False))
+    p = bagminhash.classes(make(spark, [(i, t, "en", "s") for i, t in enumerate(docs)])).toPandas()
+    assert dict(zip(p.doc_id, p.class_id, strict=True)) == brute_classes(docs)
+    same = {}
+    assert dict(zip(p.doc_id, p.rep_id, strict=True)) == {i: same.setdefault(frozenset(grams(t).items()) or i, i) for i, t in enumerate(docs)}
+
+
+def brute_classes(docs):
     up = list(range(len(docs)))
 
     def find(x):
@@ -186,7 +192,47 @@ def test_near_duplicates_brute_force(spark):
     for a, b in itertools.combinations(range(len(docs)), 2):
         if jaccard(gs[a], gs[b]) >= 0.8 and find(a) != find(b):
             up[max(find(a), find(b))] = min(find(a), find(b))
-    assert got == {i: find(i) for i in range(len(docs))}
+    return {i: find(i) for i in range(len(docs))}
+
+
+def test_large_groups_of_near_copies_brute_force(spark, monkeypatch):
+    """Near copies around one text, chains of edits that no hub joins, and texts that share a passage, in small blocks."""
+    rng = random.Random(18)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(120)]
+
+    def edited(t, k):
+        t = list(t)
+        for _ in range(k):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        return t
+
+    docs = [edited(base, rng.randrange(0, 9)) for _ in range(160)]
+    chain = [rng.choice(words) for _ in range(150)]
+    for _ in range(60):
+        chain = edited(chain, 2)
+        docs.append(chain)
+    passage = [rng.choice(words) for _ in range(80)]
+    docs += [passage + [rng.choice(words) for _ in range(rng.randrange(15, 40))] for _ in range(120)]
+    docs = [" ".join(t) for t in docs]
+    rng.shuffle(docs)
+    monkeypatch.setattr(bagminhash, "BLOCK", 16)
+    monkeypatch.setattr(bagminhash, "HUB_EDGES", 8)
+    p = bagminhash.classes(make(spark, [(i, t, "en", "s") for i, t in enumerate(docs)])).toPandas()
+    assert dict(zip(p.doc_id, p.class_id, strict=True)) == brute_classes(docs)
+
+
+def test_overlaps_of_sets():
+    rng = np.random.default_rng(19)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 60))) for _ in range(30)]
+    got = bagminhash.overlaps(np.array([len(x) for x in sets]), np.concatenate(sets))
+    assert all(got[a, b] == len(np.intersect1d(sets[a], sets[b])) for a, b in itertools.combinations(range(30), 2))
+
+
+def test_doc_ids_of_several_texts_stay(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = make(spark, [(1, one, "en", "s"), (1, two, "en", "s"), (1, one, "en", "s"), (2, two, "en", "s"), (3, one, "en", "s")])
+    assert Counter(r["text"] for r in bagminhash.keep_one(df).collect()) == {one: 1, two: 1}
 
 
 def test_near_duplicates_edges(spark, edge, empty):
