@@ -8,6 +8,7 @@ import itertools
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -376,6 +377,53 @@ def test_pii_bootstraps(spark):
     assert red[100] == "mail: [EMAIL] end" and red[102] == "mail: [EMAIL], then mail: [EMAIL]" and red[101] == rows[-2][1]
 
 
+def test_pii_patterns_without_seeds_follow_from_what_was_found(spark):
+    """Seeds back "mail: "; what stands there also stands after "login=", where no seed does, and what stands there is new."""
+    rows = [(i, f"x mail: user{i}@host{i}.example.org end", "en", "s") for i in range(60)]
+    rows += [(100 + i, f"x mail: name-{i}-here end, login=name-{i}-here end", "en", "s") for i in range(9)]
+    rows += [(200, "login=name-77-there end", "en", "s"), (201, "other=name-78-there end", "en", "s")]
+    p = pii.report(make(spark, rows)).toPandas().set_index("doc_id")
+    assert p.spans[100] == "email:8:19,email:31:42" and p.spans[200] == "email:6:19" and p.spans[201] == ""
+
+
+def test_pii_secrets_and_extra_columns(spark):
+    rng = random.Random(20)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'a b token = "{key()}" c', "en", "s") for i in range(30)] + [(50, f'A B TOKEN = "{key().upper()}"!! C', "en", "s"), (51, f"alone {key().upper()}", "en", "s")]
+    df = make(spark, rows)
+    p = pii.report(df).toPandas().set_index("doc_id")
+    assert (p.n_added[list(range(30)) + [50]] == 1).all() and p.spans[50] == "secret:13:53" and p.spans[51] == ""
+    more = df.select(*df.columns, *[F.lit(k).alias(c) for k, c in enumerate(["base", "cands", "row", "d", "t", "spans", "added", "__t", "a.b"])])
+    out = pii.redact(more)
+    assert out.columns == more.columns and {r["doc_id"]: r["text"] for r in out.collect()}[50] == 'A B TOKEN = "[SECRET]"!! C'
+
+
+def test_redaction_of_overlaps_brute_force(spark):
+    rng = random.Random(21)
+    bits = ["a@b.c", "1.2.3.4", "x1.2.3.4@e.f", "4111 1111 1111 1111", "+4111 1111 1111 1111", "+1 (988) 555-2485", "é🙂", "word ", " ", "."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 90))) for _ in range(300)] + [None, ""]
+    df = make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    spans = pii.report(df).toPandas().set_index("doc_id").spans
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    for i, t in enumerate(texts):
+        at, want = 0, ""
+        for kind, a, z in [(k, int(a), int(z)) for k, a, z in (x.split(":") for x in spans[i].split(",") if x)]:
+            if a >= at:
+                want += t[at:a] + f"[{kind.upper()}]"
+            at = max(at, z)
+        assert red[i] == (None if t is None else want + t[at:])
+
+
+def test_pii_of_many_matches_is_about_linear(spark):
+    bits = ["mail a{}@b.example.org,", "ip 10.0.{}.7;", "card 4111 1111 1111 1111", "id x-{}-9"]
+    text = " ".join(bits[k % 4].format(k % 200) for k in range(20_000))
+    start = time.monotonic()
+    df = make(spark, [(1, text, "en", "s")])
+    p, t = pii.report(df).first(), pii.redact(df).first()["text"]
+    assert p["n_email"] == p["n_ip"] == p["n_card"] == 5000 and t.count("[EMAIL]") == t.count("[CARD]") == 5000
+    assert time.monotonic() - start < 120
+
+
 # ---- op6 ------------------------------------------------------------------------------------------------------------
 
 
