@@ -207,6 +207,18 @@ def encode(docs: DataFrame, keep: dict[str, Column], ranks: dict[bytes, int], pa
     return _mapped(docs, keep, F.col("text"), ranks, pattern, _ids, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
+def _round_trip(enc: Encoder, texts: list[str]):
+    for s in enc.encode(texts):
+        ids = np.fromstring(s, np.int32, sep=",") if s else np.zeros(0, np.int32)
+        yield len(ids), ids, hashlib.sha256(enc.decode(s)).hexdigest()
+
+
+def round_trip(docs: DataFrame, keep: dict[str, Column], ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """The ``keep`` columns, n_tokens, ids, and the digest of the bytes that the ids decode to."""
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]
+    return _mapped(docs, keep, F.col("text"), ranks, pattern, _round_trip, fields)
+
+
 def digests(docs: DataFrame, keep: dict[str, Column], ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """The ``keep`` columns, n_tokens, and the digests of the ids and of the bytes that these ids decode to."""
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -9,7 +9,9 @@ composition) rewrites the token classes and their weights from left to right:
 4. negation    INSULT or THREAT within ``REACH`` tokens after a NEGATION weighs NEGATION_FACTOR times as much;
 5. reported    after REPORT, the rest of the clause weighs REPORT_FACTOR times as much.
 
-A clause scores the sum of the weights left; a document's score is a logistic function of its clauses' scores. The
+A clause scores the sum of the weights left; a document's score is a logistic function of its clauses' scores alone: of their
+sum, the largest, the sum a hundred tokens, and the sum of s / (1 + s), a count of matched clauses in which a negated or
+reported one counts less. Whatever lowers a clause's score lowers all four. The
 insult transducer's vocabulary (words, and stems of 4 to 7 bytes) and weights are learned from labelled texts: the
 lower bound of the log odds that a token marks toxic texts. Half the sample learns the vocabulary, the other half the
 logistic function (the whole sample learns both where a half has under SPLIT_FROM toxic texts). The sample has at most about ``SAMPLE`` labelled rows, a documented bound; near copies of
@@ -41,9 +43,20 @@ LEAST_LOG_ODDS, LEAST_COUNT, LEAST_SHARE, VOCABULARY, SPLIT_FROM = 2.0, 4, 0.01,
 
 #: The vocabulary that is not learned.
 SEED_INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown imbecile dimwit vermin filth".split()
-HARM = "kill hurt beat stab shoot destroy strangle murder crush burn".split()
-INTENT = "will gonna shall should must want going deserve deserves let".split()
-TARGET = "you your youre u he she they them these those him her everyone du ihr sie tu vous usted ustedes".split()
+HARM = (
+    "kill kills killed killing hurt hurts hurting beat beating stab stabbing shoot shooting destroy strangle murder crush burn "
+    "hang choke poison break smash punch kick slap bomb attack harm die bleed suffer perish vanish rot "
+    "töten umbringen schlagen verletzen sterben verbrennen tuer frapper blesser mourir brûler matar golpear herir morir quemar"
+).split()
+INTENT = (
+    "will gonna shall should must want wants going gotta deserve deserves let ill im hope wish may would could plan swear promise "
+    "werde wirst wird sollst soll musst muss will hoffe vais va vas veux dois doit devrait voy vas va quiero debes debe deberías ojalá"
+).split()
+TARGET = (
+    "you your yours youre yourself u ur he his she her hers him they them their theirs these those this that everyone everybody "
+    "anyone people guys folks ya yall du dich dir dein deine ihr euch euer sie er tu toi te ton ta vous votre vos il elle ils elles "
+    "tú ti usted ustedes vosotros él ella ellos ellas"
+).split()
 NEGATION = "not never no isnt arent dont doesnt nicht kein keine pas jamais nunca ni".split()
 REPORT = "said says called calls claimed claims wrote quoted told asked sagte dit dijo".split()
 CLASSES = {"HARM": HARM, "INTENT": INTENT, "TARGET": TARGET, "NEGATION": NEGATION, "REPORT": REPORT}
@@ -142,7 +155,7 @@ class Grammar:
         self.kind = np.array([kinds[int(k)] for k in self.kind_key])
 
     def clauses(self, b: Block) -> np.ndarray:
-        """Documents x (log of total, best clause, log of matched clauses, matches per 100 tokens)."""
+        """Documents x (log of the sum of clause scores, the largest, log of the sum of s / (1 + s), sum per 100 tokens)."""
         b = lowered(b)
         start, _, doc, hs = tokens(b)
         w = np.zeros(len(start))
@@ -162,7 +175,7 @@ class Grammar:
         new[1:] = (doc[1:] != doc[:-1]) | (clause[1:] != clause[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start))
-        total, best, hits, marks = np.zeros(b.n), np.zeros(b.n), np.zeros(b.n), np.zeros(b.n)
+        total, best, soft = np.zeros(b.n), np.zeros(b.n), np.zeros(b.n)
         for c in np.unique(np.searchsorted(first, live, side="right") - 1):
             lo, hi = first[c], last[c]
             s = clause_score(list(zip(kind[lo:hi].tolist(), w[lo:hi].tolist(), strict=True)))
@@ -170,9 +183,8 @@ class Grammar:
                 d = doc[lo]
                 total[d] += s
                 best[d] = max(best[d], s)
-                hits[d] += 1
-                marks[d] += (kind[lo:hi] == INSULT).sum()
-        return np.column_stack([np.log1p(total), best, np.log1p(hits), 100 * marks / np.maximum(np.bincount(doc, minlength=b.n), 1)])
+                soft[d] += s / (1 + s)
+        return np.column_stack([np.log1p(total), best, np.log1p(soft), 100 * total / np.maximum(np.bincount(doc, minlength=b.n), 1)])
 
     def score(self, b: Block) -> np.ndarray:
         x = self.clauses(b)

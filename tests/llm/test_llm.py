@@ -107,6 +107,38 @@ def test_toxic_grammar():
     assert s[0] > s[1] > s[2] == s[3]
 
 
+def slow_clauses(g, t):
+    t = t.lower().replace("'", "").replace("’", "")
+    kinds = {w: 1 + i for i, ws in enumerate(toxicity.CLASSES.values()) for w in ws}
+    seeds = set(toxicity.SEED_INSULTS)
+    scores, n = [], 0
+    for part in re.split(r"[.!?;:\n]", t):
+        words = re.findall(r"[a-z\x80-\U0010ffff]+", part)
+        n += len(words)
+        scores.append(toxicity.clause_score([(toxicity.INSULT, toxicity.SEED_WEIGHT) if w in seeds else (kinds.get(w, 0), 0.0) for w in words]))
+    return [np.log1p(sum(scores)), max(scores), np.log1p(sum(x / (1 + x) for x in scores)), 100 * sum(scores) / max(n, 1)]
+
+
+def test_toxic_clauses_brute_force():
+    rng, g = random.Random(22), toxicity.Grammar()
+    words = [*toxicity.SEED_INSULTS[:4], "kill", "will", "you", "not", "said", "house", "straße", "It's", "!", ".", "\n", "12", ":", "never", "they"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) for _ in range(400)] + ["", "x"]
+    assert np.allclose(g.clauses(block(*texts)), [slow_clauses(g, t) for t in texts])
+
+
+def test_negation_and_report_lower_every_input():
+    x = toxicity.Grammar().clauses(block("well you are an idiot", "you are not an idiot", "he said you idiot fool", "well he is you idiot fool", "i will kill you", "i will not kill you"))
+    assert (x[0] > x[1]).all() and (x[3] > x[2]).all() and (x[4] > 0).all() and (x[5] < x[4]).all()
+
+
+@needs_data
+def test_toxicity_held_out(spark):
+    lab = spark.read.parquet(f"{DATA}/../sf0.01/labels.parquet").toPandas()
+    p = queries.op1_toxicity(spark, f"{DATA}/../sf0.01").toPandas().merge(lab, on="doc_id")
+    p = p[p.held_out & p.toxic.notna()]
+    assert (p.predicted == p.toxic).mean() >= 0.9
+
+
 def test_toxicity_edges(spark, edge, empty, labels):
     g = toxicity.fit(edge, labels, F.lit(True))
     p = toxicity.score(edge, g, {"doc_id": F.col("doc_id")}).toPandas()
@@ -549,6 +581,23 @@ def test_boosted_trees_learn():
     assert quality_classifier.train(x[:5], np.ones(5)).score(x).std() < 1e-12
 
 
+def test_boosted_trees_traversal_brute_force():
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(500, 5))
+    m = quality_classifier.train(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=12)
+
+    def walk(row):
+        out = m.base
+        for feature, cut, value in zip(m.feature, m.cut, m.value, strict=True):
+            i = 0
+            while 2 * i + 1 < len(feature):
+                i = 2 * i + 1 + int(row[feature[i]] > cut[i])
+            out += value[i]
+        return 1 / (1 + np.exp(-out))
+
+    assert np.allclose(m.score(x), [walk(r) for r in x])
+
+
 def test_quality_classifier_edges(spark, edge, empty, labels):
     m = quality_classifier.fit(edge, labels, F.lit(True))
     p = quality_classifier.score(edge, m, {"doc_id": F.col("doc_id")}).toPandas()
@@ -568,13 +617,25 @@ def test_held_out_accuracy(spark):
     assert (p.predicted == p.quality).mean() >= 0.95
 
 
+def test_pipeline_on_odd_tables(spark, edge, tmp_path):
+    """Empty, null and repeated rows, and extra columns, through all stages."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    for name, docs in (("empty", edge.limit(0)), ("edge", edge)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert all(r["n_tokens"] == len(r["ids"]) for r in out) and (name == "edge" or not out)
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "dedup", "pii", "mix", "encode"]
     out = corpus_pipeline.run(spark, DATA).toPandas()
-    assert len(out) and (out.n_tokens == out.ids.map(len)).all()
+    assert len(out) and (out.n_tokens == out.ids.map(len)).all() and (out.decoded_sha256 == out.text_sha256).all()
 
 
 def test_work_folder(spark):
