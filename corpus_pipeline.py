@@ -24,29 +24,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate class."""
+    """One document of every near-duplicate class, that of the smallest doc_id. Rows without doc_id, and texts without a word,
+    stay; rows that repeat doc_id and text go."""
     return bagminhash.keep_one(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind; null texts stay null, n_chars follows the text."""
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a row for each turn of a document."""
+    """Sources at their target weights; a row for each turn of a document. Texts that are null or without a word have no turn;
+    null source is a source of its own."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of every document of the mix."""
+    """doc_id, lang, source, n_tokens and ids of every document of the mix, and the digests of its text and of the bytes that
+    the ids decode to, which are equal. Null text counts as empty, with no ids."""
     ranks = bpe.load_ranks(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encode(docs, {c: F.col(c) for c in ("doc_id", "lang", "source")}, ranks, public_tokenizers.PATTERN)
+    keep = {c: F.col(c) for c in ("doc_id", "lang", "source")} | {"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)}
+    return bpe.round_trip(docs, keep, ranks, public_tokenizers.PATTERN)
 
 
 STAGES = [("quality", quality), ("dedup", dedup), ("pii", redact), ("mix", mix), ("encode", encode)]
 
-#: No stage but the third is expressible in SQL.
+#: No stage is expressible in SQL.
 ORACLE_SQL = None
 
 
