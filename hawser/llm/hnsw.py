@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, in flat neighbour arrays.
 
-Equal vectors are one node (a group of copies would be a graph island); a node keeps its KEEP smallest ids, which is all
-that any answer can name. Nodes are dealt to shards of about SHARD_ROWS by a hash of the vector. Each shard's graph is
+Equal vectors are one node (a group of copies would be a graph island); a node keeps its k + 1 smallest ids, which is all
+that an answer of k can name. Nodes are dealt to shards of about SHARD_ROWS by a hash of the vector. Each shard's graph is
 one row: per level an array nodes x M of neighbours, -1 where none. Graphs are built and searched in lockstep: a batch
 of vectors takes each step of the beam search together, as numpy operations over the whole batch.
 
@@ -11,7 +11,7 @@ edges; searches compare inner products, and final scores are float64 inner produ
 The query set (a stated share of the rows) meets every shard, in blocks; shard results are merged per query.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids and vectors of
-another length than that of the smallest id; rows repeated whole count once; an empty table gives no rows.
+another length than the commonest one (of equally common ones the smallest); rows repeated whole count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .io import durable
 
-M, EF_BUILD, EF_SEARCH, SHARD_ROWS, QUERY_BLOCK, K, KEEP, SEED = 16, 64, 128, 8192, 1024, 20, 21, 5
+M, EF_BUILD, EF_SEARCH, SHARD_ROWS, QUERY_BLOCK, K, SEED = 16, 64, 128, 8192, 1024, 20, 5
 
 
 def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,22 +177,23 @@ def search(x: np.ndarray, links: list[np.ndarray], entry: int, queries: np.ndarr
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """id and v of the vectors that take part. All have the length of the vector with the smallest id."""
+    """id and v of the vectors that take part. All have the commonest length."""
     v = F.col("embedding").cast("array<double>")
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0)
     out = rows.where(ok).where(fine).select(F.col("vec_id").cast("long").alias("id"), v.alias("v"))
-    first = out.agg(F.min_by(F.size("v"), "id").alias("d")).first()["d"]
-    return out.where(F.size("v") == F.lit(first or 0))
+    lengths = out.groupBy(F.size("v").alias("d")).count()
+    best = lengths.agg(F.max_by("d", F.struct("count", -F.col("d"))).alias("d")).first()["d"]
+    return out.where(F.size("v") == F.lit(best or 0))
 
 
-def index(rows: DataFrame) -> DataFrame:
+def index(rows: DataFrame, keep: int = K + 1) -> DataFrame:
     """shard, and the shard's nodes, their ids and its graph as flat arrays, a row a shard."""
     ship(rows.sparkSession)
-    # Equal vectors, their KEEP smallest ids: first within a salt, so that a large group is no single task.
+    # Equal vectors, their ``keep`` smallest ids: first within a salt, so that a large group is no single task.
     near = Window.partitionBy("v", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy("id")
-    some = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= KEEP)
-    nodes = some.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, KEEP).alias("ids"))
+    some = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= keep)
+    nodes = some.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, keep).alias("ids"))
     nodes = durable(nodes, "ann-nodes")
     shards = max(1, -(-nodes.count() // SHARD_ROWS))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
@@ -201,7 +202,7 @@ def index(rows: DataFrame) -> DataFrame:
         f = f.assign(first=[int(i[0]) for i in f.ids]).sort_values("first", ignore_index=True)
         x = np.array(f.v.tolist(), np.float64)
         links, entry = build(x)
-        ids = np.full((len(f), KEEP), -1, np.int64)
+        ids = np.full((len(f), keep), -1, np.int64)
         for k, i in enumerate(f.ids):
             ids[k, : len(i)] = i
         return pd.DataFrame({"shard": [f["shard"].iloc[0]], "n": [len(f)], "dim": [x.shape[1]], "x": [x.tobytes()], "ids": [ids.tobytes()], "links": [[a.astype(np.int32).tobytes() for a in links]], "entry": [entry]})
@@ -213,7 +214,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = K, ef: int = EF_SEARCH)
     """query_id, rank, vec_id, score of each query's k nearest found. is_query: over the column id."""
     spark = rows.sparkSession
     rows = durable(usable(rows), "ann-rows")
-    graphs = index(rows)
+    graphs = index(rows, k + 1)
     shards = graphs.count()
     asked = rows.where(is_query)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -225,7 +226,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = K, ef: int = EF_SEARCH)
         for rb in batches:
             for r in rb.to_pylist():
                 x = np.frombuffer(r["x"], np.float64).reshape(r["n"], r["dim"])
-                ids = np.frombuffer(r["ids"], np.int64).reshape(r["n"], KEEP)
+                ids = np.frombuffer(r["ids"], np.int64).reshape(r["n"], k + 1)
                 links = [np.frombuffer(a, np.int32).reshape(r["n"], -1) for a in r["links"]]
                 qid = np.array([q["id"] for q in r["qs"]], np.int64)
                 q = np.array([q["v"] for q in r["qs"]], np.float64)

@@ -62,6 +62,17 @@ def apportion(votes: np.ndarray, seats: int) -> np.ndarray:
     return got
 
 
+def capped(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
+    """Sainte-Laguë with at most ``most`` seats a party; seats above are dealt again among the others."""
+    got, open_ = np.zeros(len(votes), np.int64), np.ones(len(votes), bool)
+    while True:
+        got[open_] = apportion(votes[open_], seats - int(got[~open_].sum()))
+        over = open_ & (got > most)
+        if not over.any():
+            return got
+        got[over], open_ = most[over], open_ & ~over
+
+
 def targets(sizes: list[int], weights: list[float]) -> list[float]:
     """Words wanted of each source."""
     left = SHARE * sum(sizes)
@@ -116,8 +127,7 @@ def place(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
 
     def deal(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("__shard", ignore_index=True)
-        got = apportion(f.length.to_numpy(float), int(f.quota.iloc[0])) * block
-        got = np.minimum(got, (CAP * f.length.to_numpy()).astype(np.int64))
+        got = capped(f.length.to_numpy(float), int(f.quota.iloc[0]), (CAP * f.length.to_numpy()).astype(np.int64) // block) * block
         return pd.DataFrame({"d_source": f.p_source, "d_shard": f["__shard"], "length": f.length, "words": got})
 
     dealt = shards.groupBy("p_source").applyInPandas(deal, "d_source string, d_shard int, length long, words long")
@@ -148,12 +158,13 @@ def report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus, in the columns of ``docs``: a row for each whole turn of a document, and one with the words on the arc
     (the text as it stands where that is all of it)."""
-    names = [c for c in docs.columns if not c.startswith("__")]
-    p = place(docs, {c: F.col(f"`{c}`") for c in names})
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    names = docs.columns
+    own = {c: f"c{i}" for i, c in enumerate(names)}
+    p = place(docs, {k: F.col(f"`{c}`") for c, k in own.items()}).withColumnRenamed(own["text"], "__text")
+    words = F.regexp_extract_all(F.col("__text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     part = lambda a, z: F.slice(words, F.col(a).cast("int") + 1, F.greatest(F.col(z) - F.col(a), F.lit(0)).cast("int"))
     arc = taken() - F.col("__turns") * F.col("__size")
     cut = F.array_join(F.concat(part("__from1", "__to1"), part("__from2", "__to2")), "")
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("__turns").cast("int")), F.when(arc <= 0, F.array().cast("array<string>")).when(arc == F.col("__size"), F.array("text")).otherwise(F.array(cut)))
+    texts = F.concat(F.array_repeat(F.col("__text"), F.col("__turns").cast("int")), F.when(arc <= 0, F.array().cast("array<string>")).when(arc == F.col("__size"), F.array("__text")).otherwise(F.array(cut)))
     out = p.where((F.col("__size") > 0) & (taken() > 0)).withColumn("__texts", texts).withColumn("__one", F.explode("__texts"))
-    return out.select(*[F.col("__one").alias("text") if c == "text" else F.length("__one").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
+    return out.select(*[F.col("__one").alias("text") if c == "text" else F.length("__one").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(k).alias(c) for c, k in own.items()])

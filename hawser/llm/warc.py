@@ -11,8 +11,8 @@ origin identifier, ordered by segment number, held against the total length, and
 segmented records are shuffled.
 
 Cases: null html is an empty payload; null page_id is allowed (a page with a number is preferred as the response);
-repeated rows each get a record of their own; records whose length, numbering or framing is broken give the status
-``broken`` and no payload; columns other than page_id, url and html are not read.
+repeated rows each get a record of their own; records whose header, length, numbering or framing is broken give the status
+``broken`` and no payload (what follows an unreadable header in its file is one broken record); columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from ..ship import ship
 from .io import durable
 
 SEGMENT, CHUNK, RECORDS_PER_FILE = 16_384, 4096, 20_000
-END = b"\r\n\r\n"
+END, DATE = b"\r\n\r\n", "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -63,20 +63,21 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
-def records(page_id: int | None, url: str, html: str, refers: int | None, revisit: bool, serial: int) -> Iterator[bytes]:
+def records(page_id: int | None, url: str, html: str, refers: int | None, refers_url: str | None, revisit: bool, serial: int) -> Iterator[bytes]:
     """The records of one page, without the blank lines that end each."""
     payload = html.encode()
     name = f"<urn:page:{'' if page_id is None else page_id}:{serial}>"
-    uri = "".join(c for c in url if c > " ")
-    common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Page", "" if page_id is None else page_id), ("X-Payload-Length", len(payload))]
+    clean = lambda u: "".join(c for c in u if c > " ")
+    uri = clean(url)
+    common = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Page", "" if page_id is None else page_id), ("X-Payload-Length", len(payload))]
     if revisit:
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers}>")]
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", clean(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-Page", refers)]
         yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, *more], b"")
         return
     block = _HTTP + frame(payload)
     parts = [block[a : a + SEGMENT] for a in range(0, len(block), SEGMENT)]
     for k, part in enumerate(parts, 1):
-        own = [("WARC-Type", "response"), ("WARC-Record-ID", name)] if k == 1 else [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Segment-Origin-ID", name)]
+        own = [("WARC-Type", "response"), ("WARC-Record-ID", name), ("Content-Type", "application/http; msgtype=response")] if k == 1 else [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Segment-Origin-ID", name)]
         if len(parts) > 1:
             own.append(("WARC-Segment-Number", k))
             if k == len(parts):
@@ -85,7 +86,7 @@ def records(page_id: int | None, url: str, html: str, refers: int | None, revisi
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower case) and block of each record of a plain or gzip archive."""
+    """Header fields (lower case) and block of each record of a plain or gzip archive; no fields where a header is broken."""
     while archive[:2] == b"\x1f\x8b":
         out, rest = [], archive
         while rest:
@@ -95,11 +96,12 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         archive = b"".join(out)
     at = 0
     while at < len(archive):
-        head = archive.index(END, at)
-        lines = archive[at:head].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a record")
+        head = archive.find(END, at)
+        lines = archive[at : max(head, at)].decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not lines[0].startswith("WARC/") or not fields.get("content-length", "").isdecimal():
+            yield {}, archive[at:]
+            return
         n = int(fields["content-length"])
         yield fields, archive[head + 4 : head + 4 + n]
         at = head + 4 + n + len(END)
@@ -118,10 +120,10 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("long", F.octet_length("html") >= least)
     # One row a payload that occurs more than once: the others can only be responses.
-    twin = p.where("long").groupBy(F.col("sha").alias("k")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("k", "first")
+    twin = p.where("long").groupBy(F.col("sha").alias("k")).agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1").select("k", F.col("top.page_id").alias("first"), F.col("top.url").alias("first_url"))
     p = p.join(twin, (F.col("sha") == F.col("k")) & F.col("long"), "left")
     revisit = F.col("k").isNotNull() & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    p = p.select("page_id", "url", "html", "first", revisit.alias("revisit"), F.monotonically_increasing_id().alias("serial"))
+    p = p.select("page_id", "url", "html", "first", "first_url", revisit.alias("revisit"), F.monotonically_increasing_id().alias("serial"))
 
     def run(batches):
         for rb in batches:
@@ -142,6 +144,13 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
 _PARSED = "page_id long, record_type string, refers_to long, origin string, segment int, total long, stated string, stated_bytes long, block binary, payload_bytes long, payload_digest string, status string"
 
 
+def _readable(h: dict[str, str]) -> bool:
+    """Whether a record has the fields that its kind needs, numbers where numbers belong."""
+    whole = lambda k: h.get(k, "0").removeprefix("-").isdecimal()
+    needs = {"warc-type", "warc-record-id", "x-page", "warc-payload-digest", "x-payload-length"} | ({"x-refers-page"} if h.get("warc-type") == "revisit" else set())
+    return needs <= h.keys() and all(whole(k) for k in ("x-payload-length", "warc-segment-number", "warc-segment-total-length", "x-refers-page")) and (not h["x-page"] or whole("x-page"))
+
+
 def _parsed(batches):
     names = [x.split()[0] for x in _PARSED.split(", ")]
     kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in _PARSED.split(", ")]
@@ -153,11 +162,14 @@ def _parsed(batches):
         for archive in rb.column(0):
             rows = []
             for h, block in parse(archive.as_py()):
+                if not _readable(h):
+                    rows.append((None, h.get("warc-type"), None, None, 0, None, None, None, None, None, None, "broken"))
+                    continue
                 page = int(h["x-page"]) if h["x-page"] else None
                 stated, stated_n = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"])
                 kind, number = h["warc-type"], int(h.get("warc-segment-number", 0))
                 if kind == "revisit":
-                    rows.append((page, kind, int(h["warc-refers-to"][10:-1]), None, 0, None, stated, stated_n, None, stated_n, stated, "ok"))
+                    rows.append((page, kind, int(h["x-refers-page"]), None, 0, None, stated, stated_n, None, stated_n, stated, "ok"))
                 elif number:
                     rows.append((page, "response", None, h.get("warc-segment-origin-id", h["warc-record-id"]), number, int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, stated, stated_n, block, None, None, None))
                 else:

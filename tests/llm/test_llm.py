@@ -361,6 +361,11 @@ def test_hnsw_recall(spark):
         hit += len(set(want) & set(mine.vec_id))
     assert hit / (150 * 20) >= 0.95
     assert hnsw.nearest(df.where("vec_id > 8000"), F.lit(True)).count() == 0
+    odd = spark.createDataFrame([(-1, [1.0], 0), *rows[:300]], df.schema)  # one vector of another length, with the smallest id
+    wide = hnsw.nearest(odd, F.col("id") == 20, k=40).toPandas()
+    assert len(wide) == 40 and set(wide["rank"]) == set(range(1, 41))
+    copies = spark.createDataFrame([(i, v[0].tolist(), 0) for i in range(60)], df.schema)
+    assert hnsw.nearest(copies, F.col("id") == 20, k=40).toPandas().sort_values("rank").vec_id.tolist() == [i for i in range(41) if i != 20]
     few = hnsw.nearest(df.where("vec_id < 5").dropDuplicates(["vec_id"]), F.lit(True)).toPandas()
     assert len(few) == 20
 
@@ -488,6 +493,23 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write(df, str(tmp_path / "v"), least=2)
     assert warc.read(spark, str(tmp_path / "v")).where("page_id = 1").first()["record_type"] == "response"
     warc.write(df.limit(0), str(tmp_path / "e"))
+    assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_warc_records_follow_the_standard():
+    first = next(iter(warc.parse(b"".join(r + warc.END for r in warc.records(2, "http://a b", "x", None, None, False, 7)))))
+    assert first[0]["content-type"] == "application/http; msgtype=response" and first[0]["warc-record-id"] == "<urn:page:2:7>"
+    h, block = next(iter(warc.parse(b"".join(r + warc.END for r in warc.records(1, "http://b", "x", 2, "http://a b", True, 8)))))
+    assert h["warc-refers-to-target-uri"] == first[0]["warc-target-uri"] == "http://ab" and h["warc-refers-to-date"] == first[0]["warc-date"] and not block
+
+
+def test_warc_broken_headers(spark, tmp_path):
+    good = next(warc.records(1, "http://a", "x", None, None, False, 0)) + warc.END
+    (tmp_path / "w").mkdir()
+    for k, bad in enumerate([good.replace(b"X-Page: 1", b"X-Page: one"), good.replace(b"X-Page: 1\r\n", b""), b"nonsense", good.replace(b"Content-Length: ", b"Content-Length: x")]):
+        (tmp_path / "w" / f"{k}.warc").write_bytes(good + bad)
+    got = warc.read(spark, str(tmp_path / "w")).toPandas()
+    assert Counter(got.status) == {"ok": 4, "broken": 4} and got[got.status == "broken"].payload_digest.isna().all()
 
 
 def test_segments_that_are_broken():
@@ -546,6 +568,16 @@ def test_apportionment_is_highest_quotients():
         assert mixing.apportion(np.array(v), seats).tolist() == want, (v, seats)
 
 
+def test_apportionment_with_caps():
+    rng = random.Random(24)
+    for _ in range(200):
+        v = np.array([rng.randrange(0, 50) for _ in range(rng.randrange(1, 8))], float)
+        most = (2 * v).astype(np.int64) // 3
+        seats = rng.randrange(0, int(most.sum()) + 1)
+        got = mixing.capped(v, seats, most)
+        assert got.sum() == seats and (got <= most).all()
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([200, 500 / 3, 250 / 3])
     assert sum(mixing.targets([10, 1000, 5, 0], [5, 2, 1, 5])) == pytest.approx(1.5 * 1015)
@@ -563,7 +595,7 @@ def test_mixing(spark, edge, empty):
     again = mixing.report(df.repartition(7)).toPandas()
     assert sorted(map(tuple, p.values.tolist())) == sorted(map(tuple, again.values.tolist()))
     mixed = mixing.mix(df)
-    assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "held_out", "class_id"]
+    assert mixed.columns == df.columns and mixed.where("__size <> 1").count() == 0
     by = mixed.toPandas().groupby("doc_id").text.apply(lambda ts: sum(len(WORD.findall(t)) for t in ts)).to_dict()
     assert by == {r.doc_id: r.taken for r in p.itertuples() if r.taken}
     assert len(mixing.report(edge).collect()) == 11 and mixing.report(empty).count() == 0 and mixing.mix(empty).count() == 0
