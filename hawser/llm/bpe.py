@@ -6,7 +6,8 @@ stands; ranks leave a heap in order, each rank is replayed at all its positions
 that touch a merge are looked up again. Merges never cross a piece, so a block's result is the corpus's. A rank that
 appears below the one in hand (rare) is replayed first, as a piece-by-piece encoder would do.
 
-A piece that is itself a token is that token. Encoded pieces are kept between blocks, up to ``CACHE`` of them.
+A piece that is itself a token is that token. Encoded pieces are kept between blocks: the last ``CACHE`` or more of those met,
+2 * ``CACHE`` at most.
 
 Cases: null or empty texts have no tokens and decode to no bytes; text is encoded as it stands, so the strings of
 special tokens are ordinary text; any length; invalid bytes cannot occur in a string column's valid UTF-8.
@@ -29,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..ship import ship
 from .io import small_batches
 
-CACHE, PIECES_AT_ONCE, MEMO = 200_000, 100_000, 400_000
+CACHE, PIECES_AT_ONCE, MEMO = 250_000, 50_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,19 +47,20 @@ class Encoder:
         self.byte = [ranks.get(bytes([i])) for i in range(256)]
         self.memo: dict[int, int] = {}
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def _merged(self, a: int, b: int) -> int:
         """Rank of the token that a and b make, or -1."""
         key = a << 32 | b
         r = self.memo.get(key)
         if r is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
             r = self.memo[key] = self.ranks.get(self.token[a] + self.token[b], -1)
         return r
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each piece, all pieces merged together in rank order."""
+        if len(self.memo) >= MEMO:  # never within a replay, which looks pairs up again
+            self.memo.clear()
         sym: list[int] = []
         bounds = [0]
         for p in pieces:
@@ -74,11 +76,18 @@ class Encoder:
         if n:
             after[n - 1] = -1
         index: dict[int, list[int]] = {}
-        merged = self._merged
+        seen, merged = self.memo.get, self._merged
         for i in range(n):
             j = after[i]
-            if j >= 0 and (r := merged(sym[i], sym[j])) >= 0:
-                index.setdefault(r, []).append(i)
+            if j >= 0:
+                r = seen(sym[i] << 32 | sym[j])
+                if r is None:
+                    r = merged(sym[i], sym[j])
+                if r >= 0:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
         heap = list(index)
         heapify(heap)
         while heap:
@@ -88,27 +97,37 @@ class Encoder:
                 continue
             places.sort()
             for k, i in enumerate(places):
-                j = after[i]
-                if sym[i] < 0 or j < 0 or merged(sym[i], sym[j]) != rank:
+                j, one = after[i], sym[i]
+                # A place may have been merged away, or stand twice in the list.
+                if one < 0 or j < 0 or seen(one << 32 | sym[j], -1) != rank:
                     continue
                 sym[i], sym[j] = rank, -1
                 after[i] = nxt = after[j]
                 lower = False
                 if nxt >= 0:
                     before[nxt] = i
-                    if (r := merged(rank, sym[nxt])) >= 0:
-                        if r not in index:
-                            index[r] = []
+                    r = seen(rank << 32 | sym[nxt])
+                    if r is None:
+                        r = merged(rank, sym[nxt])
+                    if r >= 0:
+                        if r in index:
+                            index[r].append(i)
+                        else:
+                            index[r] = [i]
                             heappush(heap, r)
-                        index[r].append(i)
                         lower = r < rank
                 prev = before[i]
-                if prev >= 0 and (r := merged(sym[prev], rank)) >= 0:
-                    if r not in index:
-                        index[r] = []
-                        heappush(heap, r)
-                    index[r].append(prev)
-                    lower |= r < rank
+                if prev >= 0:
+                    r = seen(sym[prev] << 32 | rank)
+                    if r is None:
+                        r = merged(sym[prev], rank)
+                    if r >= 0:
+                        if r in index:
+                            index[r].append(prev)
+                        else:
+                            index[r] = [prev]
+                            heappush(heap, r)
+                        lower |= r < rank
                 if lower:
                     if rank not in index:
                         heappush(heap, rank)
@@ -118,11 +137,14 @@ class Encoder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encodes the pieces not known yet: their ids, in decimal, joined by commas."""
-        known, ranks = self.known, self.ranks
+        known, older, ranks = self.known, self.older, self.ranks
         new: list[str] = []
         for pieces in texts:
             for p in set(pieces):
                 if p not in known:
+                    if p in older:
+                        known[p] = older[p]
+                        continue
                     whole = ranks.get(p.encode())
                     known[p] = "" if whole is None else str(whole)
                     if whole is None:
@@ -135,7 +157,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[str]:
         """The ids of each text, in decimal, joined by commas."""
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         pieces = [self.split(t) for t in texts]
         self.learn(pieces)
         at = self.known.__getitem__
