@@ -1,4 +1,5 @@
-"""Addresses and networks. IPv4 as a long, IPv6 as 16 bytes through a pandas UDF."""
+"""Addresses and networks. Of either family as text: "4" or "6" and the address in hex digits, of which a network keeps its first
+bits; IPv4 also as a long, and bounds of networks as bytes through a pandas UDF."""
 
 from __future__ import annotations
 
@@ -45,9 +46,50 @@ def last_v4(cidr: Column) -> Column:
     return first_v4(cidr) + F.pow(F.lit(2.0), 32 - prefix_length(cidr)).cast("long") - 1
 
 
-def in_cidr(ip: Column, cidr: Column) -> Column:
-    """Null cidr, malformed cidr or address: false."""
-    return F.coalesce(v4(ip).between(first_v4(cidr), last_v4(cidr)), F.lit(False))
+_GROUP = r"[0-9a-f]{1,4}"
+_V6, _V6_SHORT = rf"^(?:{_GROUP}:){{7}}{_GROUP}$", rf"^(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?$"
+
+
+def address(ip: Column) -> Column:
+    """The family and the address in hex digits (8 or 32 of them); null for anything that is no address. Mapped IPv4 is IPv4."""
+    low = F.lower(ip)
+    halves = F.split(low, "::")
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(0), groups(1)
+    zeros = F.array_repeat(F.lit("0000"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+    four = lambda gs: F.transform(gs, lambda g: F.lpad(g, 4, "0"))
+    long = F.array_join(F.concat(four(left), zeros, four(right)), "")
+    six = F.when(F.startswith(long, F.lit("0" * 20 + "ffff")), F.concat(F.lit("4"), F.substring(long, 25, 8))).otherwise(F.concat(F.lit("6"), long))
+    valid = low.rlike(_V6) | (low.rlike(_V6_SHORT) & (F.size(left) + F.size(right) <= 7))
+    return F.when(v4(ip).isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(v4(ip))), 8, "0"))).when(valid, six)
+
+
+def masked(at: Column, bits: Column) -> Column:
+    """The first bits of an address, with its family."""
+    whole, rest = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+    digit = F.conv(F.substring(at, whole + 2, F.lit(1)), 16, 10).cast("int")
+    kept = digit - digit % F.pow(F.lit(2), 4 - rest).cast("int")
+    return F.concat(F.substring(at, F.lit(1), whole + 1), F.when(rest > 0, F.lower(F.hex(kept.cast("long")))).otherwise(""))
+
+
+def network(cidr: Column, bare: bool = False) -> Column:
+    """struct(net: family and address, bits) of a network; null if malformed. A bare address is one only where allowed."""
+    parts = F.split(cidr, "/")
+    at = address(F.get(parts, F.lit(0)))
+    most = F.when(F.startswith(at, F.lit("4")), 32).otherwise(128)
+    # A mapped network is written in IPv6 bits.
+    mapped = F.startswith(at, F.lit("4")) & F.contains(cidr, F.lit(":"))
+    stated = F.when(F.get(parts, F.lit(1)).rlike("^[0-9]{1,3}$"), F.get(parts, F.lit(1)).cast("int"))
+    bits = F.when(F.size(parts) == 2, F.when(mapped, stated - 96).otherwise(stated))
+    if bare:
+        bits = F.when(F.size(parts) == 1, most).otherwise(bits)
+    return F.when(at.isNotNull() & bits.between(0, most), F.struct(at.alias("net"), bits.alias("bits")))
+
+
+def in_cidr(ip: Column, cidr: Column, bare: bool = True) -> Column:
+    """Null cidr, malformed cidr or address, or another family: false."""
+    n = network(cidr, bare)
+    return F.coalesce(masked(address(ip), n["bits"]) == masked(n["net"], n["bits"]), F.lit(False))
 
 
 def in_any(ip: Column, cidrs: Column) -> Column:
@@ -86,9 +128,14 @@ def network_bounds(s: pd.Series) -> pd.DataFrame:
 
 
 def login_allowed(ip: Column, allowed: Column, denied: Column) -> Column:
-    """Allowed wins, then denied, else allowed exactly where no allow list is set; an unreadable address is let through."""
-    none = F.coalesce(F.size(allowed), F.lit(0)) <= 0
-    return F.when(v4(ip).isNull(), True).when(in_any(ip, allowed), True).when(in_any(ip, denied), False).otherwise(none)
+    """Allowed networks in turn, then denied ones; the first that holds the address decides, and a malformed one refuses. Else
+    allowed exactly where no allow list is set. An unreadable address is let through."""
+    none = F.array().cast("array<string>")
+    allowed, denied = F.coalesce(allowed.cast("array<string>"), none), F.coalesce(denied.cast("array<string>"), none)
+    says = lambda c: F.when(network(c).isNull(), False).when(in_cidr(ip, c, bare=False), True)
+    first = F.get(F.filter(F.transform(allowed, says), lambda v: v.isNotNull()), F.lit(0))
+    refused = F.exists(denied, lambda c: network(c).isNull() | in_cidr(ip, c, bare=False))
+    return F.when(address(ip).isNull(), True).when(first.isNotNull(), first).when(refused, False).otherwise(F.size(allowed) == 0)
 
 
 def bandwidth_for(ip: Column, rules: Column, default: Column) -> Column:

@@ -53,6 +53,15 @@ def parse_size(s: Column) -> Column:
     return F.when(value < 2.0**63, F.floor(value).cast("long"))
 
 
+def go_duration(ms: Column) -> Column:
+    """Milliseconds as in 977ms, 1.5s, 2m0.25s, 1h0m0s; 0s for none."""
+    sec, part = F.floor(ms / 1000).cast("long"), (ms % 1000).cast("long")
+    hours, minutes, rest = F.floor(sec / 3600).cast("long"), F.floor(sec % 3600 / 60).cast("long"), sec % 60
+    tail = F.concat(rest.cast("string"), F.when(part > 0, F.concat(F.lit("."), F.rtrim(F.lpad(part.cast("string"), 3, "0"), F.lit("0")))).otherwise(""), F.lit("s"))
+    long = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(""), F.when(sec >= 60, F.concat(minutes.cast("string"), F.lit("m"))).otherwise(""), tail)
+    return F.when(ms <= 0, "0s").when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(long)
+
+
 def duration(ms: Column) -> Column:
     """Milliseconds as MM:SS, or HH:MM:SS from one hour on; rounded to the second."""
     sec = F.floor((ms + 500) / 1000).cast("long")

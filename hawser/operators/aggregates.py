@@ -65,15 +65,21 @@ def transfer_exceeded(limits: dict[str, Column], used: dict[str, Column], curren
     return F.when(limits["total"] > 0, total).otherwise(dl | ul)
 
 
-def overquota(transfers: DataFrame, users: DataFrame) -> DataFrame:
-    """Transfers to stop: uploads whose user's folder grows past the quota left, or whose user passes a transfer limit. A user
-    with a single transfer is never looked at. users: username, quota_size, used_size, limit_total, limit_ul, limit_dl, used_ul, used_dl."""
-    by_user, by_folder = Window.partitionBy("username"), Window.partitionBy("username", "folder", "kind")
-    t = transfers.withColumn("n", F.count("*").over(by_user)).withColumn("sum_ul", F.sum("ul").over(by_user)).withColumn("sum_dl", F.sum("dl").over(by_user))
-    t = t.withColumn("n_folder", F.count("*").over(by_folder)).withColumn("growth", F.sum(F.col("ul") - F.col("truncated")).over(by_folder))
-    t = t.where("n > 1").join(users, "username")
-    left = F.col("quota_size") - F.col("used_size")
-    disk = (F.col("kind") == "upload") & (F.col("n_folder") > 1) & (F.col("quota_size") > 0) & (F.col("growth") > left) & (F.col("ul") > 0)
+def overquota(transfers: DataFrame, users: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Transfers to stop: uploads that have grown, of a user and folder whose uploads together grow past the quota left, or
+    whose user passes a transfer limit. A user with a single transfer is never looked at. The quota is the folder's where
+    ``folders`` (folder, quota_size, used_size) has one of its own (-1: the user's). users: username, quota_size, used_size,
+    limit_total, limit_ul, limit_dl, used_ul, used_dl. Sums by user and folder are joined back, so a user's transfers need not
+    meet in one task."""
+    mine = transfers.groupBy("username").agg(F.count("*").alias("n"), F.sum("ul").alias("sum_ul"), F.sum("dl").alias("sum_dl")).where("n > 1").join(users, "username")
+    up = transfers.where("kind = 'upload'").groupBy("username", "folder").agg(F.count("*").alias("n_folder"), F.sum(F.col("ul") - F.col("truncated")).alias("growth")).where("n_folder > 1")
+    t = transfers.join(mine, "username").join(up.withColumnsRenamed({"username": "__u", "folder": "__f"}), (F.col("username") == F.col("__u")) & F.col("folder").eqNullSafe(F.col("__f")), "left")
+    quota, used = F.col("quota_size"), F.col("used_size")
+    if folders is not None:
+        t = t.join(folders.select(F.col("folder").alias("__g"), F.col("quota_size").alias("__q"), F.col("used_size").alias("__s")), F.col("folder") == F.col("__g"), "left")
+        own = F.col("__q").isNotNull() & (F.col("__q") != -1)
+        quota, used = F.when(own, F.col("__q")).otherwise(quota), F.when(own, F.col("__s")).otherwise(used)
+    disk = (F.col("kind") == "upload") & (quota > 0) & (F.col("growth") > quota - used) & (F.col("ul") > F.col("truncated"))
     moved = transfer_exceeded(
         {k: F.col(f"limit_{k}") for k in ("total", "ul", "dl")}, {k: F.col(f"used_{k}") for k in ("ul", "dl")}, {k: F.col(k) for k in ("ul", "dl")}, {k: F.col(f"sum_{k}") for k in ("ul", "dl")}
     )
@@ -159,18 +165,27 @@ def per_client(connections: DataFrame) -> DataFrame:
     return connections.groupBy("ip").agg(F.count("*").alias("connections"))
 
 
-def admitted(requests: DataFrame, clients: DataFrame, total: int, max_total: int, max_per_host: int, listed: Column) -> DataFrame:
-    """Which new connections are let in: listed hosts always, others below the caps (0: no cap)."""
+def admitted(requests: DataFrame, clients: DataFrame, max_total: int, max_per_host: int, listed: Column | None = None, safe: Column | None = None, connections: int = 0, transfers: int = 0, sessions: int = 0) -> DataFrame:
+    """Which new connections are let in. Where there is an allow list, only hosts on it (``listed``); these too meet the caps (0:
+    no cap): a host's own connections may not exceed max_per_host unless it is ``safe``, all connections may not exceed
+    max_total, and transfers and sessions must be below it."""
     r = requests.join(clients, "ip", "left").withColumn("connections", F.coalesce("connections", F.lit(0)))
-    room = (F.lit(max_total == 0 or total < max_total)) & (F.lit(max_per_host == 0) | (F.col("connections") < max_per_host))
-    return r.withColumn("allowed", listed | room)
-
-
-def idle(connections: DataFrame, now_ms: int, timeout_ms: int) -> DataFrame:
-    """Connections past the timeout; an SSH parent with a live child stays. connections: id, parent_id, last_activity, transfers (count)."""
-    old = (F.lit(now_ms) - F.col("last_activity") > timeout_ms) & (F.col("transfers") == 0)
-    live = connections.where(~old & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id")).distinct()
-    return connections.where(old).join(live, "id", "left_anti")
+    host = F.lit(max_per_host <= 0) | (F.col("connections") <= max_per_host) | (safe if safe is not None else F.lit(False))
+    whole = max_total <= 0 or (connections <= max_total and transfers < max_total and sessions < max_total)
+    return r.withColumn("allowed", (listed if listed is not None else F.lit(True)) & host & F.lit(whole))
+
+
+def idle(connections: DataFrame, now_ms: int, timeout_ms: int, login_timeout_ms: int | None = None) -> DataFrame:
+    """Connections to close (column reason). SSH parents (kind ssh) past the timeout, unless a connection of theirs has been active
+    within it. Others past the timeout, or past the login timeout if they are FTP and have no user yet, are idle; those of a
+    user who may no longer log in (allowed false) are refused. connections: id, kind, parent_id, protocol, username,
+    last_activity, allowed."""
+    age, parent = F.lit(now_ms) - F.col("last_activity"), F.col("kind") == "ssh"
+    live = connections.where(~parent & F.col("parent_id").isNotNull() & (age <= timeout_ms)).select(F.col("parent_id").alias("id"), F.lit(True).alias("__live")).distinct()
+    guest = (F.col("protocol") == "FTP") & (F.col("username") == "")
+    late = (age > timeout_ms) | (guest & (age > (timeout_ms if login_timeout_ms is None else login_timeout_ms)))
+    reason = F.when(parent, F.when((age > timeout_ms) & F.col("__live").isNull(), "idle")).when(late, "idle").when(~guest & ~F.col("allowed"), "access")
+    return connections.join(live, "id", "left").withColumn("reason", reason).where("reason is not null").select(*connections.columns, "reason")
 
 
 def failures(results: DataFrame, key: str) -> DataFrame:

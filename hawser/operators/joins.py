@@ -23,23 +23,31 @@ def members(links: DataFrame, owner: str, member: str, name: str = "members") ->
 
 
 def nearest_policy(rows: DataFrame, policies: DataFrame, path: str = "path", policy_path: str = "policy_path", also: list[str] | None = None) -> DataFrame:
-    """Each row with the policy of its deepest ancestor (itself included); rows without one stay, with nulls. Ancestors are
-    exploded and joined by equality, so neither side need be small; ``also`` names further equal keys, such as the user."""
-    also = also or []
-    tagged = rows.withColumn("__row", F.monotonically_increasing_id())
-    steps = tagged.select("__row", *also, F.posexplode(paths.ancestors(F.col(path))).alias("__up", policy_path))
-    best = steps.join(policies, [policy_path, *also]).groupBy("__row").agg(F.min_by(F.struct(policy_path, *[c for c in policies.columns if c not in (policy_path, *also)]), "__up").alias("__p"))
-    return tagged.join(best, "__row", "left").select(*rows.columns, "__p.*")
+    """Each row with the policy of its deepest ancestor (itself included); rows without one stay, with nulls. Distinct paths are
+    found their policy once: their ancestors are exploded and joined by equality, so neither side need be small; ``also``
+    names further equal keys, such as the user."""
+    keys = [*(also or []), path]
+    each = rows.select(*keys).distinct()
+    steps = each.select(*[F.col(k).alias(f"__{k}") for k in keys], *(also or []), F.posexplode(paths.ancestors(F.col(path))).alias("__up", policy_path))
+    extra = [c for c in policies.columns if c not in (policy_path, *(also or []))]
+    best = steps.join(policies, [policy_path, *(also or [])]).groupBy(*[f"__{k}" for k in keys]).agg(F.min_by(F.struct(policy_path, *extra), "__up").alias("__p"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k) == F.col(f"__{k}")
+    return rows.join(best, same, "left").select(*rows.columns, "__p.*")
 
 
 def longest_prefix(addresses: DataFrame, entries: DataFrame, ip: str = "ip", protocol: str | None = None) -> DataFrame:
     """Each address with the mode of the longest network that holds it and admits its protocol; none: null. entries:
-    cidr, mode, protocols. Networks are joined by equality of (length, masked address), one probe for each length in use."""
-    e = entries.select(net.prefix_length(F.col("cidr")).alias("bits"), net.first_v4(F.col("cidr")).alias("net"), "cidr", "mode", net.protocol_bits(F.col("protocols")).alias("protocols"))
-    lengths = [r["bits"] for r in e.select("bits").distinct().collect()]  # at most 33
+    cidr, mode, protocols; malformed networks hold nothing. Networks of both families are joined by equality of (length,
+    first bits), one probe for each length in use."""
+    e = entries.withColumn("__n", net.network(F.col("cidr"), bare=True)).where("__n is not null")
+    e = e.select(F.col("__n.bits").alias("bits"), net.masked(F.col("__n.net"), F.col("__n.bits")).alias("net"), F.left("__n.net", F.lit(1)).alias("family"), "cidr", "mode", net.protocol_bits(F.col("protocols")).alias("protocols"))
+    lengths = sorted((r["family"], r["bits"]) for r in e.select("family", "bits").distinct().collect())  # at most 33 + 129
     keys = [ip, *([protocol] if protocol else [])]
-    probes = addresses.select(*keys).distinct().withColumn("n", net.v4(F.col(ip))).where("n is not null")
-    probes = probes.withColumn("bits", F.explode(F.array(*[F.lit(b) for b in sorted(lengths)]).cast("array<int>"))).withColumn("net", net.mask(F.col("n"), F.col("bits")))
+    probes = addresses.select(*keys).distinct().withColumn("__at", net.address(F.col(ip))).where("__at is not null")
+    in_use = lambda f: F.array(*[F.lit(b) for g, b in lengths if g == f]).cast("array<int>")
+    probes = probes.withColumn("bits", F.explode(F.when(F.startswith("__at", F.lit("4")), in_use("4")).otherwise(in_use("6")))).withColumn("net", net.masked(F.col("__at"), F.col("bits")))
     hits = probes.join(e, ["bits", "net"])
     if protocol:
         hits = hits.where(net.has_protocol(F.col("protocols"), F.col(protocol)))

@@ -106,11 +106,11 @@ def visible(entries: DataFrame, rules: list[dict]) -> DataFrame:
     return entries.withColumn("allowed", ok).withColumn("__h", hide).where("allowed OR NOT __h").drop("__h")
 
 
-def has_upload_space(size: Column, limit_ul: Column, used_ul: Column, limit_total: Column, used_total: Column) -> Column:
-    """Room under the upload and the total limit (0: none)."""
-    return ((limit_total == 0) | (used_total + size <= limit_total)) & ((limit_total > 0) | (limit_ul == 0) | (used_ul + size <= limit_ul))
+def has_upload_space(limit_ul: Column, used_ul: Column, limit_total: Column, used_total: Column) -> Column:
+    """Whether something is left of the total limit or, if there is none (0 or less), of the upload limit."""
+    return F.when(limit_total > 0, used_total < limit_total).otherwise((limit_ul <= 0) | (used_ul < limit_ul))
 
 
-def has_download_space(size: Column, limit_dl: Column, used_dl: Column, limit_total: Column, used_total: Column) -> Column:
+def has_download_space(limit_dl: Column, used_dl: Column, limit_total: Column, used_total: Column) -> Column:
     """The same for downloads."""
-    return has_upload_space(size, limit_dl, used_dl, limit_total, used_total)
+    return has_upload_space(limit_dl, used_dl, limit_total, used_total)

@@ -86,22 +86,22 @@ def search_events(events: DataFrame, f: EventFilter) -> DataFrame:
     return rows.orderBy(*[k.asc() if up else k.desc() for k in keys]).limit(f.limit)
 
 
+def _arrow(first: str, second: str) -> Column:
+    return F.when(F.col(second) != "", F.concat(first, F.lit(" => "), second)).otherwise(F.col(first))
+
+
+def _exported(events: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    return events.select("id", *[text.csv_safe(F.coalesce(c.cast("string"), F.lit(""))).alias(k) for k, c in cells.items()])
+
+
 def fs_export(events: DataFrame) -> DataFrame:
-    """Rows of the file-system event export: derived, readable, and safe to open in a spreadsheet. One scan, no paging."""
-    path = F.when(F.col("virtual_target_path") != "", F.concat("virtual_path", F.lit(" => "), "virtual_target_path")).otherwise(F.col("virtual_path"))
-    sized = F.col("action").isin("upload", "download", "pre-upload", "pre-download", "first-upload", "first-download", "delete", "copy")
-    return events.select(
-        F.col("id"),
-        text.rfc3339_nano(F.col("timestamp")).alias("time"),
-        F.col("action"),
-        text.csv_safe(path).alias("path"),
-        F.when(sized & (F.col("file_size") > 0), text.size_iec(F.col("file_size"))).otherwise("").alias("size"),
-        F.when(F.col("elapsed") > 0, text.duration(F.col("elapsed"))).otherwise("").alias("elapsed"),
-        text.status_label(F.col("status")).alias("status"),
-        text.csv_safe(F.col("username")).alias("user"),
-        F.col("protocol"),
-        F.col("ip"),
-    )
+    """Rows of the file-system event export, with the event's id: readable, every cell safe to open in a spreadsheet. One scan,
+    no paging."""
+    return _exported(events, {
+        "time": text.rfc3339_nano(F.col("timestamp")), "action": F.col("action"), "path": _arrow("virtual_path", "virtual_target_path"), "fs_path": _arrow("fs_path", "fs_target_path"),
+        "size": F.when(F.col("file_size") > 0, text.size_iec(F.col("file_size"))), "elapsed": F.when(F.col("elapsed") > 0, text.go_duration(F.col("elapsed"))), "status": text.status_label(F.col("status")),
+        "user": F.col("username"), "protocol": F.col("protocol"), "ip": F.col("ip"), "ssh_cmd": F.col("ssh_cmd"), "role": F.col("role"),
+    })
 
 
 def page(rows: DataFrame, key: str, limit: int = PAGE_DEFAULT, offset: int = 0, order: str = "ASC") -> DataFrame:

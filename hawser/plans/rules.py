@@ -57,35 +57,33 @@ class Rule:
 
 def predicate(rule: Rule, columns: list[str]) -> Column:
     """The rule as a condition over event columns (action, username, role, groups, virtual_path, virtual_target_path, protocol,
-    file_size, object_type, ip). Columns the events lack are not tested."""
+    file_size, object_type, idp_event). A column the events lack is empty."""
     c = rule.conditions
-    has = columns.__contains__
+    empty = {"file_size": F.lit(0), "groups": F.array().cast("array<string>")}
+    col = lambda k: F.col(k) if k in columns else empty.get(k, F.lit(""))
     if rule.trigger in (IP_BLOCKED, CERTIFICATE, SCHEDULE, ON_DEMAND):
         return F.lit(True)
     out = F.lit(True)
     if c.names:
-        out &= matches_list(F.col("username"), c.names)
-    if c.roles and has("role"):
-        out &= matches_list(F.col("role"), c.roles)
+        out &= matches_list(col("username"), c.names)
     if rule.trigger == IDP_LOGIN:
-        return out & ((F.col("idp_event") == c.idp_event) if c.idp_event else F.lit(True))
+        return out & ((col("idp_event") == c.idp_event) if c.idp_event else F.lit(True))
     out &= F.col("action").isin(c.events)
-    if rule.trigger == PROVIDER:
-        return out & (F.col("object_type").isin(c.objects) if c.objects else F.lit(True))
+    if c.roles:
+        out &= matches_list(col("role"), c.roles)
     if c.groups:
-        out &= matches_groups(F.col("groups"), c.groups) if has("groups") else F.lit(False)
+        out &= matches_groups(col("groups"), c.groups)
+    if rule.trigger == PROVIDER:
+        return out & (col("object_type").isin(c.objects) if c.objects else F.lit(True))
     if c.paths:
-        hit = matches_list(F.col("virtual_path"), c.paths)
-        if has("virtual_target_path"):
-            hit |= (F.col("virtual_target_path") != "") & matches_list(F.col("virtual_target_path"), c.paths)
-        out &= hit
+        out &= matches_list(col("virtual_path"), c.paths)
     if c.protocols:
-        out &= F.col("protocol").isin(c.protocols)
+        out &= col("protocol").isin(c.protocols)
     sized = F.col("action").isin(SIZED_EVENTS)
     if c.min_size:
-        out &= ~sized | (F.col("file_size") >= c.min_size)
+        out &= ~sized | (col("file_size") >= c.min_size)
     if c.max_size:
-        out &= ~sized | (F.col("file_size") <= c.max_size)
+        out &= ~sized | (col("file_size") <= c.max_size)
     return out
 
 
@@ -110,12 +108,18 @@ def plan_actions(matched: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def run_order(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    """Which planned actions run, given whether each would succeed (column ok): normal ones in order until one fails that
-    stops the rest; failure actions if any that ran failed."""
-    item = F.struct("position", "failure_action", "stop", "ok", "action_name")
+    """Which planned actions run, given whether each would succeed (column ok): synchronous ones in order, then the others in
+    order, then, if any of these failed, the failure actions; one that fails and stops ends its own series only."""
+    item = F.struct("position", "failure_action", "sync", "stop", "ok", "action_name")
     plan = outcomes.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("acts"))
-    normal = F.filter("acts", lambda a: ~a["failure_action"])
     zero = F.struct(F.lit(False).alias("stopped"), F.lit(False).alias("failed"), F.array().cast("array<string>").alias("ran"))
-    state = F.aggregate(normal, zero, lambda s, a: F.struct((s["stopped"] | (~s["stopped"] & ~a["ok"] & a["stop"])).alias("stopped"), (s["failed"] | (~s["stopped"] & ~a["ok"])).alias("failed"), F.when(s["stopped"], s["ran"]).otherwise(F.concat(s["ran"], F.array(a["action_name"]))).alias("ran")))
-    late = F.transform(F.filter("acts", lambda a: a["failure_action"]), lambda a: a["action_name"])
-    return plan.withColumn("s", state).select(*by, F.when(F.col("s.failed"), F.concat(F.col("s.ran"), late)).otherwise(F.col("s.ran")).alias("ran"), F.when(F.col("s.failed"), 2).otherwise(1).alias("status"))
+
+    def one(s, a):
+        bad = ~s["stopped"] & ~a["ok"]
+        return F.struct((s["stopped"] | (bad & a["stop"])).alias("stopped"), (s["failed"] | bad).alias("failed"), F.when(s["stopped"], s["ran"]).otherwise(F.concat(s["ran"], F.array(a["action_name"]))).alias("ran"))
+
+    series = lambda test: F.aggregate(F.filter("acts", test), zero, one)
+    plan = plan.withColumn("s", series(lambda a: ~a["failure_action"] & a["sync"])).withColumn("a", series(lambda a: ~a["failure_action"] & ~a["sync"]))
+    plan = plan.withColumn("late", series(lambda a: a["failure_action"])["ran"]).withColumn("failed", F.col("s.failed") | F.col("a.failed"))
+    ran = F.concat(F.col("s.ran"), F.col("a.ran"), F.when(F.col("failed"), F.col("late")).otherwise(F.array().cast("array<string>")))
+    return plan.select(*by, ran.alias("ran"), F.when(F.col("failed"), 2).otherwise(1).alias("status"))

@@ -77,15 +77,17 @@ def _iec_sql(n: str) -> str:
     return out
 
 
-_DURATION_SQL = "CASE WHEN (e + 500) // 3600000 > 0 THEN lpad(((e + 500) // 3600000)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad(((e + 500) // 1000 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad(((e + 500) // 1000 % 60)::VARCHAR, 2, '0')"
+_DURATION_SQL = """CASE WHEN e < 1000 THEN concat(e, 'ms') ELSE concat(CASE WHEN e >= 3600000 THEN concat(e // 3600000, 'h') ELSE '' END, CASE WHEN e >= 60000 THEN concat(e // 60000 % 60, 'm') ELSE '' END,
+    e // 1000 % 60, CASE WHEN e % 1000 > 0 THEN concat('.', rtrim(lpad((e % 1000)::VARCHAR, 3, '0'), '0')) ELSE '' END, 's') END"""
 
 
 @query(f"""WITH {FS_SQL}, x AS (SELECT *, elapsed AS e FROM fs)
     SELECT id, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts_us % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad((ts_us % 1000000)::VARCHAR, 6, '0'), '0') END || 'Z' AS time,
       action, CASE WHEN virtual_target_path <> '' THEN virtual_path || ' => ' || virtual_target_path ELSE virtual_path END AS path,
-      CASE WHEN action IN ('upload', 'download', 'delete') AND file_size > 0 THEN {_iec_sql('file_size')} ELSE '' END AS size,
+      CASE WHEN fs_target_path <> '' THEN fs_path || ' => ' || fs_target_path ELSE fs_path END AS fs_path,
+      CASE WHEN file_size > 0 THEN {_iec_sql('file_size')} ELSE '' END AS size,
       CASE WHEN elapsed > 0 THEN {_DURATION_SQL} ELSE '' END AS elapsed, CASE status WHEN 1 THEN 'OK' WHEN 2 THEN 'KO' ELSE 'Quota exceeded' END AS status,
-      username AS user, protocol, ip FROM x""")
+      username AS user, protocol, ip, CASE WHEN ssh_cmd <> '' THEN '''=scp' ELSE '' END AS ssh_cmd, role FROM x""")
 def event_export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fs_export(tables.fs_events(spark, sf_dir))
 
@@ -161,9 +163,9 @@ def shares_with_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").join(owner, "o_custkey").select(F.col("o_orderkey").alias("share"), "owner", F.col("o_totalprice").alias("price"))
 
 
-@query("SELECT s_suppkey AS id, coalesce((SELECT n_nationkey FROM nation WHERE n_name = concat('N', s_nationkey)), -1)::INT AS role_id FROM supplier")
+@query("SELECT s_suppkey AS id, coalesce((SELECT n_nationkey FROM nation WHERE n_name = CASE WHEN s_suppkey % 10 = 0 THEN 'none' ELSE concat('NATION_', s_nationkey) END), -1)::INT AS role_id FROM supplier")
 def resolve_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("N"), "s_nationkey").alias("n_name"))
+    rows = tables.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 10 == 0, "none").otherwise(F.concat(F.lit("NATION_"), "s_nationkey")).alias("n_name"))
     return dml.insert_resolved(rows, tables.load(spark, sf_dir, "nation"), "n_name", "n_nationkey", "role_id", -1).select("id", "role_id")
 
 
@@ -211,16 +213,20 @@ def rate_limit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- C9: IP lists ---------------------------------------------------------------------------------------------------
 
+_BAD_NETWORKS = [("2001:db8::/32", 2, 0), ("2001:db8:1::/48", 1, 0), ("::1/128", 1, 0), ("nonsense", 2, 0), ("10.0.3.0/99", 2, 0), ("2001:db8::/200", 2, 0)]
 _NETWORKS = [("10.0.0.0/8", 1, 0), ("10.0.0.0/16", 2, 0), ("10.0.3.0/24", 1, 1), ("10.0.3.0/25", 2, 2), ("10.0.5.5/32", 1, 0), ("10.0.8.0/21", 2, 12), ("192.168.0.0/16", 2, 0)]
 _BIT_SQL = "CASE protocol WHEN 'SSH' THEN 1 WHEN 'FTP' THEN 2 WHEN 'DAV' THEN 4 ELSE 8 END"
 _NETS_SQL = "nets(cidr, mode, protocols, net, bits) AS (VALUES " + ", ".join(f"('{c}', {m}, {p}, {sum(int(x) << s for x, s in zip(c.split('/')[0].split('.'), (24, 16, 8, 0)))}, {c.split('/')[1]})" for c, m, p in _NETWORKS) + ")"
 
 
 @query(f"""WITH {HOST_SQL}, {_NETS_SQL}, a AS (SELECT DISTINCT ip, protocol, string_split(ip, '.')[1]::BIGINT * 16777216 + string_split(ip, '.')[2]::BIGINT * 65536 + string_split(ip, '.')[3]::BIGINT * 256 + string_split(ip, '.')[4]::BIGINT AS n FROM host)
-    SELECT a.ip, a.protocol, max_by(mode, bits) AS mode, max_by(cidr, bits) AS cidr FROM a LEFT JOIN nets ON n BETWEEN net AND net + (1::BIGINT << (32 - bits)) - 1 AND (protocols = 0 OR protocols & {_BIT_SQL} <> 0) GROUP BY 1, 2""")
+    SELECT a.ip, a.protocol, max_by(mode, bits) AS mode, max_by(cidr, bits) AS cidr FROM a LEFT JOIN nets ON n BETWEEN net AND net + (1::BIGINT << (32 - bits)) - 1 AND (protocols = 0 OR protocols & {_BIT_SQL} <> 0) GROUP BY 1, 2
+    UNION ALL SELECT DISTINCT concat('2001:DB8:', right(ip, 1), '::1'), protocol, CASE WHEN right(ip, 1) = '1' THEN 1 ELSE 2 END, CASE WHEN right(ip, 1) = '1' THEN '2001:db8:1::/48' ELSE '2001:db8::/32' END FROM a""")
 def ip_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame(_NETWORKS, "cidr string, mode int, protocols int")
+    entries = spark.createDataFrame(_NETWORKS + _BAD_NETWORKS, "cidr string, mode int, protocols int")
     seen = tables.host_events(spark, sf_dir).select("ip", "protocol").distinct()
+    six = seen.select(F.concat(F.lit("2001:DB8:"), F.substring("ip", -1, 1), F.lit("::1")).alias("ip"), "protocol").distinct()
+    seen = seen.unionByName(six)
     return joins.longest_prefix(seen, entries, protocol="protocol")
 
 
@@ -236,10 +242,13 @@ def network_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("cidr", net.first_v4(F.col("cidr")).alias("first"), net.last_v4(F.col("cidr")).alias("last"), net.has_protocol(net.protocol_bits(F.col("protocols")), "FTP").alias("ftp"))
 
 
-@query(f"WITH {HOST_SQL} SELECT DISTINCT ip, CASE WHEN starts_with(ip, '10.0.3.') THEN true WHEN starts_with(ip, '10.0.') AND string_split(ip, '.')[3]::INT < 8 THEN false ELSE false END AS allowed FROM host")
+@query(f"""WITH {HOST_SQL} SELECT DISTINCT ip, CASE WHEN starts_with(ip, '10.0.3.') THEN true ELSE false END AS allowed FROM host
+    UNION ALL SELECT * FROM (VALUES ('2001:db8::1', false), ('2001:db8:9::1', true), ('::ffff:10.0.3.9', true), ('fe80::1', false)) v""")
 def login_addr_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = lambda *x: F.array(*[F.lit(v) for v in x])
-    return tables.host_events(spark, sf_dir).select("ip").distinct().withColumn("allowed", net.login_allowed(F.col("ip"), a("10.0.3.0/24", "bad"), a("10.0.0.0/21")))
+    six = spark.createDataFrame([("2001:db8::1",), ("2001:db8:9::1",), ("::ffff:10.0.3.9",), ("fe80::1",)], "ip string")
+    seen = tables.host_events(spark, sf_dir).select("ip").distinct().unionByName(six)
+    return seen.withColumn("allowed", net.login_allowed(F.col("ip"), a("10.0.3.0/24", "2001:db8:9::/48", "bad"), a("10.0.0.0/21", "2001:db8::/32")))
 
 
 @query(f"WITH {HOST_SQL} SELECT DISTINCT ip, CASE WHEN starts_with(ip, '10.0.4.') THEN 64 WHEN string_split(ip, '.')[3]::INT BETWEEN 0 AND 7 THEN 128 ELSE 512 END AS kib_per_s FROM host")
@@ -279,7 +288,7 @@ def transfers_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TRANSFERS_SQL}, u AS (SELECT DISTINCT username, substr(username, 5)::BIGINT AS k FROM t),
     w AS (SELECT t.*, k, count(*) OVER (PARTITION BY username) AS n, sum(ul) OVER (PARTITION BY username) AS su, sum(dl) OVER (PARTITION BY username) AS sd,
       count(*) OVER (PARTITION BY username, folder, kind) AS nf, sum(ul - truncated) OVER (PARTITION BY username, folder, kind) AS g FROM t JOIN u USING (username)),
-    r AS (SELECT *, CASE WHEN kind = 'upload' AND nf > 1 AND k % 3 > 0 AND g > k % 3 * 700000 - 50000 AND ul > 0 THEN 'disk'
+    r AS (SELECT *, CASE WHEN kind = 'upload' AND nf > 1 AND CASE WHEN folder = 'R' THEN g > 600000 - 10000 ELSE k % 3 > 0 AND g > k % 3 * 700000 - 50000 END AND ul > truncated THEN 'disk'
       WHEN k % 4 > 0 AND su + sd + 300000 > k % 4 * 1048576 AND (ul > 0 OR dl > 0) THEN 'transfer'
       WHEN k % 4 = 0 AND k % 5 > 0 AND sd + 200000 > k % 5 * 1048576 AND dl > 0 THEN 'transfer' END AS reason FROM w WHERE n > 1)
     SELECT id, line, username, folder, kind, ul, dl, truncated, reason FROM r WHERE reason IS NOT NULL""")
@@ -289,7 +298,8 @@ def overquota_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = t.select("username").distinct().select(
         "username", (k % 3 * 700000).alias("quota_size"), F.lit(50000).alias("used_size"), (k % 4).alias("limit_total"), F.lit(0).alias("limit_ul"), (k % 5).alias("limit_dl"), F.lit(100000).alias("used_ul"), F.lit(200000).alias("used_dl"),
     )
-    return aggregates.overquota(t, users)
+    folders = spark.createDataFrame([("R", 600_000, 10_000), ("A", -1, 0)], "folder string, quota_size long, used_size long")
+    return aggregates.overquota(t, users, folders)
 
 
 _DELTAS_SQL = "d AS (SELECT concat('user', user_id) AS key, epoch_us(ts) AS ts, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS files, CAST(floor(value * 10) AS BIGINT) * CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS size, event_id % 40 = 0 AS is_reset FROM events)"
@@ -396,7 +406,7 @@ def zip_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- C3: rules ------------------------------------------------------------------------------------------------------
 
 _RULES = [
-    Rule("big-uploads", FS, Conditions(events=["upload"], min_size=2_000_000, statuses=[1]), [Action("notify", 2), Action("scan", 1, execute_sync=True, stop_on_failure=True), Action("alert", 3, is_failure_action=True)]),
+    Rule("big-uploads", FS, Conditions(events=["upload"], min_size=2_000_000, statuses=[1]), [Action("notify", 1), Action("scan", 2, execute_sync=True, stop_on_failure=True), Action("alert", 3, is_failure_action=True, stop_on_failure=True), Action("page", 4, is_failure_action=True)]),
     Rule("text-only", FS, Conditions(events=["upload", "download", "delete"], paths=[Pattern("/**/*.txt")], protocols=["SFTP", "HTTP"]), [Action("archive", 1)]),
     Rule("not-user1", FS, Conditions(events=["mkdir"], names=[Pattern("user1*", inverse=True)], roles=[Pattern("role?")]), [Action("audit", 1)]),
     Rule("off", FS, Conditions(events=["mkdir"]), [], status=0),
@@ -412,15 +422,15 @@ def rule_match_fs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(tables.fs_events(spark, sf_dir), _RULES).select("id", "rule")
 
 
-@query(f"WITH {_MATCH_SQL} SELECT id, rule, action_name, position FROM m JOIN (VALUES ('big-uploads', 'scan', 1), ('big-uploads', 'notify', 2), ('big-uploads', 'alert', 3), ('text-only', 'archive', 1), ('not-user1', 'audit', 1)) a(r, action_name, position) ON rule = r WHERE rule <> 'big-uploads' OR status = 1")
+@query(f"WITH {_MATCH_SQL} SELECT id, rule, action_name, position FROM m JOIN (VALUES ('big-uploads', 'notify', 1), ('big-uploads', 'scan', 2), ('big-uploads', 'alert', 3), ('big-uploads', 'page', 4), ('text-only', 'archive', 1), ('not-user1', 'audit', 1)) a(r, action_name, position) ON rule = r WHERE rule <> 'big-uploads' OR status = 1")
 def rule_action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_actions(match(tables.fs_events(spark, sf_dir), _RULES), _RULES).select("id", "rule", "action_name", "position")
 
 
-@query(f"WITH {_MATCH_SQL} SELECT id, rule, CASE WHEN rule = 'big-uploads' THEN CASE WHEN id % 2 = 0 THEN 'scan,alert' WHEN id % 3 = 0 THEN 'scan,notify,alert' ELSE 'scan,notify' END WHEN rule = 'text-only' THEN 'archive' ELSE 'audit' END AS ran, CASE WHEN rule = 'big-uploads' AND (id % 2 = 0 OR id % 3 = 0) THEN 2 ELSE 1 END AS status FROM m WHERE rule <> 'big-uploads' OR status = 1")
+@query(f"WITH {_MATCH_SQL} SELECT id, rule, CASE WHEN rule = 'big-uploads' THEN CASE WHEN id % 2 <> 0 AND id % 3 <> 0 THEN 'scan,notify' WHEN id % 7 = 0 THEN 'scan,notify,alert' ELSE 'scan,notify,alert,page' END WHEN rule = 'text-only' THEN 'archive' ELSE 'audit' END AS ran, CASE WHEN rule = 'big-uploads' AND (id % 2 = 0 OR id % 3 = 0) THEN 2 ELSE 1 END AS status FROM m WHERE rule <> 'big-uploads' OR status = 1")
 def rule_action_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_actions(match(tables.fs_events(spark, sf_dir), _RULES), _RULES)
-    ok = F.when(F.col("action_name") == "scan", F.col("id") % 2 != 0).when(F.col("action_name") == "notify", F.col("id") % 3 != 0).otherwise(True)
+    ok = F.when(F.col("action_name") == "scan", F.col("id") % 2 != 0).when(F.col("action_name") == "notify", F.col("id") % 3 != 0).when(F.col("action_name") == "alert", F.col("id") % 7 != 0).otherwise(True)
     return run_order(plan.withColumn("ok", ok), ["id", "rule"]).select("id", "rule", F.array_join("ran", ",").alias("ran"), "status")
 
 
@@ -572,13 +582,13 @@ def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.from_json("props", "k int")["k"].alias("k"))
 
 
-_OLD_NEW = "o AS (SELECT user_id AS id, event_type AS name, epoch_us(ts) AS updated_at FROM events WHERE event_id % 2 = 0 AND user_id < 100), n AS (SELECT user_id AS id, event_type AS name, epoch_us(ts) AS updated_at FROM events WHERE event_id % 2 = 1 AND user_id >= 50)"
+_OLD_NEW = "o AS (SELECT user_id AS id, event_type AS name, epoch_us(ts) AS updated_at FROM events WHERE event_id % 2 = 0), n AS (SELECT user_id AS id, event_type AS name, epoch_us(ts) AS updated_at FROM events WHERE event_id % 2 = 1)"
 
 
 def _old_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = tables.load(spark, sf_dir, "events")
     cols = ["user_id AS id", "event_type AS name", f"{tables.micros()} AS updated_at"]
-    return e.where("event_id % 2 = 0 AND user_id < 100").selectExpr(*cols), e.where("event_id % 2 = 1 AND user_id >= 50").selectExpr(*cols)
+    return e.where("event_id % 2 = 0").selectExpr(*cols), e.where("event_id % 2 = 1").selectExpr(*cols)
 
 
 @query(f"WITH {_OLD_NEW} SELECT id, arg_max(name, updated_at) AS name, max(updated_at) AS updated_at FROM (SELECT * FROM o UNION ALL SELECT * FROM n) GROUP BY id")
@@ -603,11 +613,10 @@ def purge_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.purge(tables.users(spark, sf_dir), 1706500000700 + 1_800_000).select("id", "deleted_at")
 
 
-@query("SELECT conv_id AS parent, text AS item, turn - min(turn) OVER (PARTITION BY conv_id) AS sort_order FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) = count(DISTINCT turn))")
+@query("SELECT conv_id AS parent, text AS item, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text NULLS FIRST) - 1 AS sort_order FROM conversations")
 def replace_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.load(spark, sf_dir, "conversations")
-    whole = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("d"), (F.max("turn") - F.min("turn")).alias("w")).where("n = d")
-    lists = c.join(whole, "conv_id", "left_semi").groupBy(F.col("conv_id").alias("parent")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("items"))
+    lists = c.groupBy(F.col("conv_id").alias("parent")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("items"))
     none = lists.select("parent", F.lit("").alias("item"), F.lit(0).alias("sort_order"))
     return dml.replace_links(none, lists, "parent", "items", "item").select("parent", "item", F.col("sort_order").cast("long").alias("sort_order"))
 

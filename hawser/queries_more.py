@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import paths, text
+from .functions import net, paths, text
 from .operators import aggregates, checks, dml, joins, policy, search
 from .plans import accounts
 from .queries import AS_OF, FILES_SQL, FS_SQL, HOST_SQL, USERS_SQL, _RETAIN_SQL, _policies, query
@@ -37,27 +37,32 @@ def listing_with_mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.shadowed(e, spark.createDataFrame([("/en/1", True), ("/en/25", True)], "path string, mount boolean"))
 
 
-@query(f"WITH {FS_SQL} SELECT id, CASE WHEN user_id % 3 > 0 THEN file_size + 500000 <= user_id % 3 * 1048576 WHEN user_id % 2 > 0 THEN file_size + 100000 <= 2097152 ELSE true END AS room FROM fs WHERE action = 'upload'")
+@query(f"WITH {FS_SQL} SELECT id, CASE WHEN user_id % 3 > 0 THEN user_id % 3 * 1048576 - file_size > 0 WHEN user_id % 2 > 0 THEN 2097152 - file_size > 0 ELSE true END AS room FROM fs WHERE action = 'upload'")
 def transfer_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
-    room = policy.has_upload_space(F.col("file_size"), u % 2 * 2097152, F.lit(100000), u % 3 * 1048576, F.lit(500000))
+    room = policy.has_upload_space(u % 2 * 2097152, F.col("file_size"), u % 3 * 1048576, F.col("file_size"))
     return tables.fs_events(spark, sf_dir).where("action = 'upload'").select("id", room.alias("room"))
 
 
-@query(f"WITH {HOST_SQL}, c AS (SELECT ip, count(*) AS n FROM host GROUP BY ip) SELECT ip, starts_with(ip, '10.0.7.') OR n < 60 AS allowed FROM c")
+@query(f"WITH {HOST_SQL}, c AS (SELECT ip, count(*) AS n FROM host GROUP BY ip) SELECT ip, string_split(ip, '.')[3]::INT < 12 AND (n <= 60 OR starts_with(ip, '10.0.7.')) AS allowed FROM c")
 def connection_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.host_events(spark, sf_dir)
     clients = aggregates.per_client(e)
-    return aggregates.admitted(clients.select("ip"), clients, 10, 100, 60, F.startswith("ip", F.lit("10.0.7."))).select("ip", "allowed")
+    listed = net.in_any(F.col("ip"), F.array(F.lit("10.0.0.0/21"), F.lit("10.0.8.0/22")))
+    return aggregates.admitted(clients.select("ip"), clients, 100, 60, listed, net.in_cidr(F.col("ip"), F.lit("10.0.7.0/24")), connections=100, transfers=99).select("ip", "allowed")
 
 
-_SESSIONS_SQL = "s AS (SELECT event_id AS id, CASE WHEN event_id % 6 = 1 THEN event_id - 1 WHEN event_id % 6 = 2 THEN event_id - 2 END AS parent_id, epoch_us(ts) // 1000 AS last_activity, CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS transfers FROM events)"
+_SESSIONS = {"id": "event_id", "kind": "CASE WHEN event_id % 6 = 0 THEN 'ssh' ELSE 'session' END", "parent_id": "CASE WHEN event_id % 6 = 1 THEN event_id - 1 WHEN event_id % 6 = 2 THEN event_id - 2 END", "protocol": "CASE WHEN event_id % 6 < 3 THEN 'SFTP' ELSE 'FTP' END", "username": "CASE WHEN event_id % 6 = 3 THEN '' ELSE 'u' END", "last_activity": "{us} {div} 1000", "allowed": "event_id % 13 <> 0"}
+_SESSIONS_SQL = "s AS (SELECT " + ", ".join(f"{v.format(us='epoch_us(ts)', div='//')} AS {k}" for k, v in _SESSIONS.items()) + " FROM events)"
 
 
-@query(f"WITH {_SESSIONS_SQL}, o AS (SELECT *, 1705300000000 - last_activity > 900000 AND transfers = 0 AS old FROM s) SELECT id, last_activity FROM o WHERE old AND id NOT IN (SELECT parent_id FROM o WHERE NOT old AND parent_id IS NOT NULL)")
+@query(f"""WITH {_SESSIONS_SQL}, o AS (SELECT *, 1706600000000 - last_activity AS age FROM s), r AS (SELECT id, last_activity, CASE
+      WHEN kind = 'ssh' THEN CASE WHEN age > 900000000 AND id NOT IN (SELECT parent_id FROM o WHERE kind <> 'ssh' AND age <= 900000000 AND parent_id IS NOT NULL) THEN 'idle' END
+      WHEN age > 900000000 OR (protocol = 'FTP' AND username = '' AND age > 100000000) THEN 'idle' WHEN NOT (protocol = 'FTP' AND username = '') AND NOT allowed THEN 'access' END AS reason FROM o)
+    SELECT * FROM r WHERE reason IS NOT NULL""")
 def idle_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.load(spark, sf_dir, "events").selectExpr("event_id AS id", "CASE WHEN event_id % 6 = 1 THEN event_id - 1 WHEN event_id % 6 = 2 THEN event_id - 2 END AS parent_id", f"{tables.micros()} div 1000 AS last_activity", "CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS transfers")
-    return aggregates.idle(e, 1705300000000, 900_000).select("id", "last_activity")
+    e = tables.load(spark, sf_dir, "events").selectExpr(*[f"{v.format(us=tables.micros(), div='div')} AS `{k}`" for k, v in _SESSIONS.items()])
+    return aggregates.idle(e, 1706600000000, 900_000_000, 100_000_000).select("id", "last_activity", "reason")
 
 
 @query(f"{_RETAIN_SQL}, left_ AS (SELECT DISTINCT dir FROM up WHERE n < len(parts) AND path NOT IN (SELECT path FROM del)) SELECT DISTINCT dir FROM up WHERE n < len(parts) AND dir <> '/' AND path IN (SELECT path FROM del) AND dir NOT IN (SELECT dir FROM left_)")
@@ -105,9 +110,9 @@ def transfer_close_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.closed_transfers(t, 0)[0].select("id", "action", "virtual_path", "status")
 
 
-@query("SELECT s_name AS username, concat('/data/', s_name) AS home_dir FROM supplier UNION ALL SELECT c_name, '/old' FROM customer WHERE c_custkey < 50 AND c_name NOT IN (SELECT s_name FROM supplier)")
+@query("SELECT s_name AS username, concat('/data/', s_name) AS home_dir FROM supplier UNION ALL SELECT c_name, '/old' FROM customer WHERE c_name NOT IN (SELECT s_name FROM supplier)")
 def login_account_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = tables.users(spark, sf_dir).where("id < 50").select("username", F.lit("/old").alias("home_dir"))
+    users = tables.users(spark, sf_dir).select("username", F.lit("/old").alias("home_dir"))
     logins = tables.load(spark, sf_dir, "supplier").select(F.col("s_name").alias("Name"))
     return accounts.accounts_from_login(logins, users, '{"username": "{{.Name}}", "home_dir": "/data/{{.Name}}"}', "username string, home_dir string", 0)
 

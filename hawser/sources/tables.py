@@ -30,6 +30,9 @@ FS_EVENTS = {
     "instance_id": "concat('node', event_id % 3)",
     "fs_provider": "CAST(event_id % 4 AS INT)",
     "bucket": "CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('bucket', event_id % 7) END",
+    "fs_path": "concat('/srv/', event_type, '/', event_id)",
+    "fs_target_path": "CASE WHEN event_type = 'view' THEN concat('/srv/archive/', event_id) ELSE '' END",
+    "ssh_cmd": "CASE WHEN event_id % 23 = 0 THEN '=scp' ELSE '' END",
 }
 HOST_EVENTS = {
     "id": "event_id",

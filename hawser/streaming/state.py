@@ -32,22 +32,30 @@ class Defender:
 
     def step(self, state: dict, ts: int, score: int) -> dict:
         """One event of a host. state: events (list of (ts, score)), until. Returns the new state, with ``total`` and ``banned``
-        (a new ban). An event during a ban extends it."""
+        (a new ban). Events during a ban are ignored; an event without a score makes a host known."""
         events, until = list(state.get("events", [])), state.get("until", 0)
         if until > ts:
-            return {"events": events, "until": until + self.extension_us(), "total": 0, "banned": False}
+            return {"events": events, "until": until, "total": 0, "banned": False}
         edge = ts - self.observation_min * MIN_US
         had = bool(events)
         events = [e for e in events if e[0] > edge or (self.stored and e[0] == edge)]
-        if score > 0:
+        if score > 0 or not self.stored:
             events.append((ts, score))
         total = sum(s for _, s in events)
-        ban = score > 0 and (total > self.threshold if self.stored else had and total >= self.threshold)
+        ban = score > 0 and total > self.threshold if self.stored else had and total >= self.threshold
         if ban:
             return {"events": events if self.stored else [], "until": ts + self.ban_min * MIN_US, "total": total, "banned": True}
         return {"events": events, "until": 0, "total": total, "banned": False}
 
 
+    def check(self, state: dict, ts: int) -> dict:
+        """Whether a host that connects is banned (``banned`` tells a new ban, so it is False here); a running ban is extended."""
+        until = state.get("until", 0)
+        return {"events": list(state.get("events", [])), "until": until + self.extension_us() if until > ts else until, "total": 0, "banned": False}
+
+
+#: The event of a host that connects: its ban, if there is one, is checked and extended.
+CHECK = "Check"
 _DEFENDER_OUT = "ip string, id long, ts_us long, score int, total long, banned boolean, banned_until_us long"
 
 
@@ -59,7 +67,7 @@ def _replay(d: Defender, state: dict, f: pd.DataFrame) -> tuple[dict, pd.DataFra
     out = []
     for ip, i, ts, event in zip(f.ip, f.id, f.ts_us, f.event, strict=True):
         s = _score(event)
-        state = d.step(state, int(ts), s)
+        state = d.check(state, int(ts)) if event == CHECK else d.step(state, int(ts), s)
         out.append((ip, i, ts, s, state["total"], state["banned"], state["until"]))
     return state, pd.DataFrame(out, columns=["ip", "id", "ts_us", "score", "total", "banned", "banned_until_us"])
 
@@ -87,7 +95,8 @@ def defend_stream(events: DataFrame, d: Defender = Defender()) -> DataFrame:
         rows = pd.concat(list(frames)).sort_values(["ts_us", "id"])
         now, out = _replay(d, now, rows)
         state.update((json.dumps({"events": now["events"], "until": now["until"]}),))
-        state.setTimeoutDuration((d.observation_min + d.ban_min) * 60_000)
+        left_us = max(now["until"] - int(rows.ts_us.max()), 0)
+        state.setTimeoutDuration(d.observation_min * 60_000 + max(left_us // 1000, d.ban_min * 60_000))
         yield out
 
     return events.select("ip", "id", "ts_us", "event").groupBy("ip").applyInPandasWithState(update, _DEFENDER_OUT, "state string", "append", "ProcessingTimeTimeout")

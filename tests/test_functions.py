@@ -129,3 +129,39 @@ def test_names_and_addresses(spark):
     assert ok(text.size_si(F.lit(1_234_000).cast("long"))) == "1.234 MB"
     assert ok(text.throttle_wait_ms(F.lit(10240), F.lit(5), F.lit(500))) == 1500
     assert ok(net.bandwidth_for(F.lit("10.0.0.1"), F.array(F.struct(F.array(F.lit("10.0.0.0/8")).alias("sources"), F.lit(9).alias("limit"))), F.lit(1))) == 9
+
+
+def test_networks_of_both_families_brute_force(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(3)
+    ips = ["10.0.0.1", "::", "::1", "1::", "2001:db8::8:800:200c:417a", "FE80::1", "::ffff:10.0.0.1", "0:0:0:0:0:ffff:a00:1", "1:2:3:4:5:6:7:8", "255.255.255.255", "1:2:3:4:5:6:7::"]
+    ips += [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(20)] + [str(ipaddress.IPv6Address(rng.getrandbits(32) << 64)) for _ in range(10)] + [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(20)]
+    nets = ["10.0.0.0/8", "::/0", "::/128", "2001:db8::/32", "2001:db8::/31", "fe80::/10", "0.0.0.0/0", "10.0.0.1/32", "1:2:3::/47"]
+    nets += [f"{x}/{rng.randrange(0, 33 if '.' in x else 129)}" for x in ips if not x.startswith("::f") and "ffff:a00" not in x]
+    rows = [(i, c) for i in ips for c in nets]
+    got = spark.createDataFrame(rows, "ip string, cidr string").select(net.in_cidr(F.col("ip"), F.col("cidr")).alias("v")).collect()
+
+    def want(i, c):
+        a, n = ipaddress.ip_address(i), ipaddress.ip_network(c, strict=False)
+        a = a.ipv4_mapped or a if a.version == 6 else a
+        return a.version == n.version and a in n
+
+    assert [r["v"] for r in got] == [want(i, c) for i, c in rows]
+    bad = ["x", "", "1.2.3", "1.2.3.4.5", "1:2:3:4:5:6:7", "1::2::3", "12345::", ":1", "1:2:3:4:5:6:7:8:9", "g::", "10.0.0.0/33", "::/129", "10.0.0.0/", "10.0.0.0/x", None]
+    frame = spark.createDataFrame([(b,) for b in bad], "s string")
+    assert frame.where(net.network(F.col("s"), bare=True).isNotNull()).count() == 0
+
+
+def test_login_allowed_by_either_family(spark):
+    a = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    v = lambda ip, ok, no: value(spark, net.login_allowed(F.lit(ip), ok, no))
+    assert v("2001:db8::1", a(), a("2001:db8::/32")) is False and v("2001:db9::1", a(), a("2001:db8::/32")) is True
+    assert v("10.0.0.1", a("10.0.0.0/8", "bad"), a()) is True and v("10.0.0.1", a("bad", "10.0.0.0/8"), a()) is False
+    assert v("11.0.0.1", a("10.0.0.0/8"), a()) is False and v("11.0.0.1", a(), a("bad")) is False and v("11.0.0.1", a(), a()) is True
+
+
+def test_go_duration(spark):
+    for ms, want in ((0, "0s"), (977, "977ms"), (1000, "1s"), (1500, "1.5s"), (90500, "1m30.5s"), (120000, "2m0s"), (3600000, "1h0m0s"), (3661050, "1h1m1.05s")):
+        assert value(spark, text.go_duration(F.lit(ms))) == want
