@@ -50,18 +50,26 @@ _GROUP = r"[0-9a-f]{1,4}"
 _V6, _V6_SHORT = rf"^(?:{_GROUP}:){{7}}{_GROUP}$", rf"^(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?$"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it stands in the result."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def address(ip: Column) -> Column:
     """The family and the address in hex digits (8 or 32 of them); null for anything that is no address. Mapped IPv4 is IPv4."""
     low = F.lower(ip)
     halves = F.split(low, "::")
     groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
-    left, right = groups(0), groups(1)
-    zeros = F.array_repeat(F.lit("0000"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
     four = lambda gs: F.transform(gs, lambda g: F.lpad(g, 4, "0"))
-    long = F.array_join(F.concat(four(left), zeros, four(right)), "")
-    six = F.when(F.startswith(long, F.lit("0" * 20 + "ffff")), F.concat(F.lit("4"), F.substring(long, 25, 8))).otherwise(F.concat(F.lit("6"), long))
-    valid = low.rlike(_V6) | (low.rlike(_V6_SHORT) & (F.size(left) + F.size(right) <= 7))
-    return F.when(v4(ip).isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(v4(ip))), 8, "0"))).when(valid, six)
+
+    def long(x):
+        n = F.size(x["a"]) + F.size(x["z"])
+        digits = F.array_join(F.concat(four(x["a"]), F.array_repeat(F.lit("0000"), F.greatest(8 - n, F.lit(0))), four(x["z"])), "")
+        return F.when(low.rlike(_V6) | (n <= 7), digits)
+
+    mapped = lambda d: F.when(F.startswith(d, F.lit("0" * 20 + "ffff")), F.concat(F.lit("4"), F.substring(d, 25, 8))).otherwise(F.concat(F.lit("6"), d))
+    six = F.when(low.rlike(_V6) | low.rlike(_V6_SHORT), _once(_once(F.struct(groups(0).alias("a"), groups(1).alias("z")), long), mapped))
+    return _once(v4(ip), lambda n: F.when(n.isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0"))).otherwise(six))
 
 
 def masked(at: Column, bits: Column) -> Column:
@@ -74,26 +82,32 @@ def masked(at: Column, bits: Column) -> Column:
 
 def network(cidr: Column, bare: bool = False) -> Column:
     """struct(net: family and address, bits) of a network; null if malformed. A bare address is one only where allowed."""
-    parts = F.split(cidr, "/")
-    at = address(F.get(parts, F.lit(0)))
-    most = F.when(F.startswith(at, F.lit("4")), 32).otherwise(128)
-    # A mapped network is written in IPv6 bits.
-    mapped = F.startswith(at, F.lit("4")) & F.contains(cidr, F.lit(":"))
-    stated = F.when(F.get(parts, F.lit(1)).rlike("^[0-9]{1,3}$"), F.get(parts, F.lit(1)).cast("int"))
-    bits = F.when(F.size(parts) == 2, F.when(mapped, stated - 96).otherwise(stated))
-    if bare:
-        bits = F.when(F.size(parts) == 1, most).otherwise(bits)
-    return F.when(at.isNotNull() & bits.between(0, most), F.struct(at.alias("net"), bits.alias("bits")))
+
+    def of(at):
+        parts = F.split(cidr, "/")
+        four = F.startswith(at, F.lit("4"))
+        most = F.when(four, 32).otherwise(128)
+        stated = F.when(F.get(parts, F.lit(1)).rlike("^[0-9]{1,3}$"), F.get(parts, F.lit(1)).cast("int"))
+        # A mapped network is written in IPv6 bits.
+        bits = F.when(F.size(parts) == 2, stated - F.when(four & F.contains(cidr, F.lit(":")), 96).otherwise(0))
+        if bare:
+            bits = F.when(F.size(parts) == 1, most).otherwise(bits)
+        return _once(bits, lambda n: F.when(at.isNotNull() & n.between(0, most), F.struct(at.alias("net"), n.alias("bits"))))
+
+    return _once(address(F.get(F.split(cidr, "/"), F.lit(0))), of)
+
+
+def _holds(at: Column, n: Column) -> Column:
+    return F.coalesce(masked(at, n["bits"]) == masked(n["net"], n["bits"]), F.lit(False))
 
 
 def in_cidr(ip: Column, cidr: Column, bare: bool = True) -> Column:
     """Null cidr, malformed cidr or address, or another family: false."""
-    n = network(cidr, bare)
-    return F.coalesce(masked(address(ip), n["bits"]) == masked(n["net"], n["bits"]), F.lit(False))
+    return _once(F.struct(address(ip).alias("at"), network(cidr, bare).alias("n")), lambda x: _holds(x["at"], x["n"]))
 
 
 def in_any(ip: Column, cidrs: Column) -> Column:
-    return F.coalesce(F.exists(cidrs, lambda c: in_cidr(ip, c)), F.lit(False))
+    return _once(address(ip), lambda at: F.coalesce(F.exists(cidrs, lambda c: _once(network(c, bare=True), lambda n: _holds(at, n))), F.lit(False)))
 
 
 def protocol_bits(mask_: Column) -> Column:
@@ -132,10 +146,14 @@ def login_allowed(ip: Column, allowed: Column, denied: Column) -> Column:
     allowed exactly where no allow list is set. An unreadable address is let through."""
     none = F.array().cast("array<string>")
     allowed, denied = F.coalesce(allowed.cast("array<string>"), none), F.coalesce(denied.cast("array<string>"), none)
-    says = lambda c: F.when(network(c).isNull(), False).when(in_cidr(ip, c, bare=False), True)
-    first = F.get(F.filter(F.transform(allowed, says), lambda v: v.isNotNull()), F.lit(0))
-    refused = F.exists(denied, lambda c: network(c).isNull() | in_cidr(ip, c, bare=False))
-    return F.when(address(ip).isNull(), True).when(first.isNotNull(), first).when(refused, False).otherwise(F.size(allowed) == 0)
+
+    def decide(at):
+        says = lambda c: _once(network(c), lambda n: F.when(n.isNull(), False).when(_holds(at, n), True))
+        first = F.filter(F.transform(allowed, says), lambda v: v.isNotNull())
+        refused = F.exists(denied, lambda c: _once(network(c), lambda n: n.isNull() | _holds(at, n)))
+        return F.when(at.isNull(), True).when(F.size(first) > 0, F.get(first, F.lit(0))).when(refused, False).otherwise(F.size(allowed) == 0)
+
+    return _once(address(ip), decide)
 
 
 def bandwidth_for(ip: Column, rules: Column, default: Column) -> Column:
