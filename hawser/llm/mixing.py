@@ -106,13 +106,15 @@ def _sized(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
     return map_blocks(docs, keep, F.col("text"), fn, [T.StructField("__size", T.LongType())])
 
 
-def place(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
-    """The ``keep`` columns and __size, __source_size, __target, __turns, __from1, __to1, __from2, __to2: whole turns, and the
+def place(docs: DataFrame, keep: dict[str, Column], wide: bool = False) -> DataFrame:
+    """The ``keep`` columns (joined once at the end where they are ``wide``, as texts are, for the rows that give words; else
+    carried along, for all rows) and __size, __source_size, __target, __turns, __from1, __to1, __from2, __to2: whole turns, and the
     two stretches of the document's words (from, to; empty if equal) that lie on the arc."""
     spark = docs.sparkSession
     ship(spark)
-    keep = keep | {"__source": F.col("source"), "__id": F.col("doc_id")}
-    rows = durable(_sized(docs, keep), "mix")
+    carried = {} if wide else keep
+    every = durable(_sized(docs, keep | {"__source": F.col("source"), "__id": F.col("doc_id"), "__row": F.monotonically_increasing_id()}), "mix")
+    rows = every.select(*carried, "__source", "__id", "__row", "__size")  # written, so the row numbers stay
     per = rows.groupBy("__source").agg(F.count("*").alias("n"), F.sum("__size").alias("size")).collect()  # a row a source
     per = sorted(per, key=lambda r: (r["__source"] is None, (r["__source"] or "").encode("utf-32-be")))
     want = targets([r["size"] for r in per], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(per))])
@@ -139,10 +141,11 @@ def place(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
     rows = rows.withColumn("__at", F.sum("__size").over(ring) - F.col("__size"))
     clip = lambda c: F.greatest(F.lit(0), F.least(c - F.col("__at"), F.col("__size"))).cast("long")
     end = F.col("begin") + F.col("arc")
-    return rows.select(
-        *[k for k in keep if k not in ("__source", "__id")], "__size", "__source_size", "__target", F.col("turns").alias("__turns"),
+    placed = rows.select(
+        *carried, "__row", "__size", "__source_size", "__target", F.col("turns").alias("__turns"),
         clip(F.lit(0)).alias("__from1"), clip(F.greatest(end - F.col("length"), F.lit(0))).alias("__to1"), clip(F.col("begin")).alias("__from2"), clip(F.least(end, F.col("length"))).alias("__to2"),
     )
+    return every.select(*keep, "__row").join(placed.where(taken() > 0), "__row") if wide else placed
 
 
 def taken() -> Column:
@@ -160,7 +163,7 @@ def mix(docs: DataFrame) -> DataFrame:
     (the text as it stands where that is all of it)."""
     names = docs.columns
     own = {c: f"c{i}" for i, c in enumerate(names)}
-    p = place(docs, {k: F.col(f"`{c}`") for c, k in own.items()}).withColumnRenamed(own["text"], "__text")
+    p = place(docs, {k: F.col(f"`{c}`") for c, k in own.items()}, wide=True).withColumnRenamed(own["text"], "__text")
     words = F.regexp_extract_all(F.col("__text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     part = lambda a, z: F.slice(words, F.col(a).cast("int") + 1, F.greatest(F.col(z) - F.col(a), F.lit(0)).cast("int"))
     arc = taken() - F.col("__turns") * F.col("__size")
