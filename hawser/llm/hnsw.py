@@ -8,7 +8,8 @@ of vectors takes each step of the beam search together, as numpy operations over
 Largest inner product is turned into nearest distance by one more coordinate, sqrt(max|x|^2 - |x|^2), for building
 edges; searches compare inner products, and final scores are float64 inner products of the original vectors.
 
-The query set (a stated share of the rows) meets every shard, in blocks; shard results are merged per query.
+The query set (a stated share of the rows) meets every shard, in blocks; a shard's graph travels once to each GROUP_BLOCKS
+blocks, which stream past it. Shard results are merged per query.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids and vectors of
 another length than the commonest one (of equally common ones the smallest); rows repeated whole count once; an empty table gives no rows.
@@ -26,6 +27,7 @@ from ..ship import ship
 from .io import durable
 
 M, EF_BUILD, EF_SEARCH, SHARD_ROWS, QUERY_BLOCK, K, SEED = 16, 64, 128, 8192, 1024, 20, 5
+GROUP_BLOCKS, MOST_PARTS = 16, 20_000
 
 
 def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,40 +217,54 @@ def nearest(rows: DataFrame, is_query: Column, k: int = K, ef: int = EF_SEARCH)
     spark = rows.sparkSession
     rows = durable(usable(rows), "ann-rows")
     graphs = index(rows, k + 1)
-    shards = graphs.count()
+    shards = 1 + (graphs.agg(F.max("shard")).first()[0] or 0)
     asked = rows.where(is_query)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    groups = -(-blocks // GROUP_BLOCKS)
     asked = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("qs"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, int(graphs.agg(F.max("shard")).first()[0] or 0)))))) if shards else asked.withColumn("shard", F.lit(0))
-    pairs = asked.join(graphs, "shard").repartition(max(1, min(shards * blocks, 2000)), "shard", "block")
+    asked = asked.withColumn("group", F.floor(F.col("block") / GROUP_BLOCKS).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    sent = graphs.withColumn("block", F.lit(-1).cast("long")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # A partition holds, for each of its (shard, group) in turn, the graph and then the query blocks, which stream past it.
+    parts = max(1, min(shards * groups, MOST_PARTS))
+    both = sent.unionByName(asked, allowMissingColumns=True).repartition(parts, "shard", "group").sortWithinPartitions("shard", "group", "block")
 
     def run(batches):
+        graph = of = None
         for rb in batches:
-            for r in rb.to_pylist():
-                x = np.frombuffer(r["x"], np.float64).reshape(r["n"], r["dim"])
-                ids = np.frombuffer(r["ids"], np.int64).reshape(r["n"], k + 1)
-                links = [np.frombuffer(a, np.int32).reshape(r["n"], -1) for a in r["links"]]
-                qid = np.array([q["id"] for q in r["qs"]], np.int64)
-                q = np.array([q["v"] for q in r["qs"]], np.float64)
-                small = x.astype(np.float32)
-                for lo in range(0, len(qid), 256):
-                    qs, qi = q[lo : lo + 256], qid[lo : lo + 256]
-                    found = search(small, links, r["entry"], qs.astype(np.float32), max(ef, k + 1))
-                    a, b = np.nonzero(found >= 0)
-                    node = found[a, b]
-                    score = np.einsum("xd,xd->x", x[node], qs[a])
-                    cand = ids[node]
-                    keep = (cand >= 0) & (cand != qi[a][:, None])
-                    ia, ib = np.nonzero(keep)
-                    who, vec, sc = a[ia], cand[ia, ib], score[ia]
-                    order = np.lexsort((vec, -sc, who))
-                    who, vec, sc = who[order], vec[order], sc[order]
-                    first = np.concatenate([[0], np.flatnonzero(np.diff(who)) + 1]) if len(who) else np.zeros(0, np.int64)
-                    rank = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
-                    best = rank < k
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[who[best]]), pa.array(vec[best]), pa.array(sc[best])], names=["query_id", "vec_id", "score"])
-
-    found = pairs.select("shard", "n", "dim", "x", "ids", "links", "entry", "qs").mapInArrow(run, "query_id long, vec_id long, score double")
+            for i in range(rb.num_rows):
+                r = rb.slice(i, 1)
+                at = r.column("shard")[0].as_py()
+                if r.column("block")[0].as_py() < 0:
+                    g = r.drop_columns(["qs"]).to_pylist()[0]
+                    x = np.frombuffer(g["x"], np.float64).reshape(g["n"], g["dim"])
+                    ids = np.frombuffer(g["ids"], np.int64).reshape(g["n"], k + 1)
+                    links = [np.frombuffer(a, np.int32).reshape(g["n"], -1) for a in g["links"]]
+                    graph, of = (x, x.astype(np.float32), ids, links, g["entry"]), at
+                elif at == of:  # else no vector has this shard number
+                    qid, q = (c.to_numpy() if c.type == pa.int64() else c.flatten().to_numpy() for c in r.column("qs").flatten().flatten())
+                    yield from answers(graph, qid, q.reshape(len(qid), -1))
+
+    def answers(graph, qid, q):
+        x, small, ids, links, entry = graph
+        for lo in range(0, len(qid), 256):
+            qs, qi = q[lo : lo + 256], qid[lo : lo + 256]
+            found = search(small, links, entry, qs.astype(np.float32), max(ef, k + 1))
+            a, b = np.nonzero(found >= 0)
+            node = found[a, b]
+            score = np.einsum("xd,xd->x", x[node], qs[a])
+            cand = ids[node]
+            keep = (cand >= 0) & (cand != qi[a][:, None])
+            ia, ib = np.nonzero(keep)
+            who, vec, sc = a[ia], cand[ia, ib], score[ia]
+            order = np.lexsort((vec, -sc, who))
+            who, vec, sc = who[order], vec[order], sc[order]
+            first = np.concatenate([[0], np.flatnonzero(np.diff(who)) + 1]) if len(who) else np.zeros(0, np.int64)
+            rank = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+            best = rank < k
+            yield pa.RecordBatch.from_arrays([pa.array(qi[who[best]]), pa.array(vec[best]), pa.array(sc[best])], names=["query_id", "vec_id", "score"])
+
+    names = ["shard", "block", "n", "dim", "x", "ids", "links", "entry", "qs"]
+    found = both.select(*names).mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
