@@ -160,14 +160,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus, in the columns of ``docs``: a row for each whole turn of a document, and one with the words on the arc
-    (the text as it stands where that is all of it)."""
+    (the text as it stands where that is all of it; two rows where the arc takes both ends of a document, not its middle)."""
     names = docs.columns
     own = {c: f"c{i}" for i, c in enumerate(names)}
     p = place(docs, {k: F.col(f"`{c}`") for c, k in own.items()}, wide=True).withColumnRenamed(own["text"], "__text")
     words = F.regexp_extract_all(F.col("__text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     part = lambda a, z: F.slice(words, F.col(a).cast("int") + 1, F.greatest(F.col(z) - F.col(a), F.lit(0)).cast("int"))
     arc = taken() - F.col("__turns") * F.col("__size")
-    cut = F.array_join(F.concat(part("__from1", "__to1"), part("__from2", "__to2")), "")
-    texts = F.concat(F.array_repeat(F.col("__text"), F.col("__turns").cast("int")), F.when(arc <= 0, F.array().cast("array<string>")).when(arc == F.col("__size"), F.array("__text")).otherwise(F.array(cut)))
+    cut = F.filter(F.array(F.array_join(part("__from1", "__to1"), ""), F.array_join(part("__from2", "__to2"), "")), lambda t: t != "")
+    texts = F.concat(F.array_repeat(F.col("__text"), F.col("__turns").cast("int")), F.when(arc <= 0, F.array().cast("array<string>")).when(arc == F.col("__size"), F.array("__text")).otherwise(cut))
     out = p.where((F.col("__size") > 0) & (taken() > 0)).withColumn("__texts", texts).withColumn("__one", F.explode("__texts"))
     return out.select(*[F.col("__one").alias("text") if c == "text" else F.length("__one").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(k).alias(c) for c, k in own.items()])
