@@ -105,6 +105,16 @@ def html_escaped(s: Column) -> Column:
     return s
 
 
+def url_query_escaped(s: Column) -> Column:
+    """As a value of a URL's query: spaces as ``+``; letters, digits and ``-_.~`` as they are."""
+    return F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def same_items(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same elements as often, in any order."""
+    return F.array_sort(a) == F.array_sort(b)
+
+
 def status_label(status: Column) -> Column:
     return F.when(status == 1, "OK").when(status == 2, "KO").when(status == 3, "Quota exceeded").otherwise("")
 
@@ -169,14 +179,52 @@ def throttle_wait_ms(bytes_: Column, kib_per_s: Column, elapsed_ms: Column) -> C
     return F.coalesce(F.greatest(wait, F.lit(0)), F.lit(0)).cast("long")
 
 
-def template(source: str, values: dict[str, Column], escape=None) -> Column:
-    """``{{.Name}}`` tokens replaced all at once (a value that holds a token is not replaced again); unknown tokens stay."""
+def template(source: str, values: dict[str, Column], escape=None, raw: tuple[str, ...] = ()) -> Column:
+    """``{{.Name}}`` tokens replaced all at once (a value that holds a token is not replaced again); unknown tokens stay. The
+    values of the tokens in ``raw`` are not escaped."""
     parts = []
-    for piece in re.split(r"(\{\{\s*\.\w+\s*\}\})", source):
-        m = re.fullmatch(r"\{\{\s*\.(\w+)\s*\}\}", piece)
+    for piece in re.split(r"(\{\{\.\w+\}\})", source):
+        m = re.fullmatch(r"\{\{\.(\w+)\}\}", piece)
         if m and m[1] in values:
             v = F.coalesce(values[m[1]].cast("string"), F.lit(""))
-            parts.append(escape(v) if escape else v)
+            parts.append(escape(v) if escape and m[1] not in raw else v)
         elif piece:
             parts.append(F.lit(piece))
     return F.concat(*parts) if parts else F.lit("")
+
+
+#: Tokens of an event and the columns they show.
+TOKENS = {
+    "Name": "username", "Event": "action", "Status": "status", "VirtualPath": "virtual_path", "FsPath": "fs_path", "VirtualTargetPath": "virtual_target_path", "FsTargetPath": "fs_target_path",
+    "ObjectName": "object_name", "ObjectType": "object_type", "FileSize": "file_size", "Elapsed": "elapsed", "Protocol": "protocol", "IP": "ip", "Role": "role", "Email": "email",
+    "Timestamp": "timestamp", "UID": "uid", "Ext": "extension", "ObjectData": "object_data", "Metadata": "metadata",
+}
+#: Tokens whose values are JSON already or escaped for it.
+RAW_TOKENS = ("ObjectData", "ObjectDataString", "Metadata", "MetadataString")
+_NUMBERS = ("Status", "FileSize", "Elapsed", "Timestamp")
+
+
+def event_tokens(columns: list[str]) -> dict[str, Column]:
+    """Values of every token over a view of events; columns that the view lacks count as empty (numbers as 0, data as ``{}``).
+    ``idp_<field>`` columns give ``IDPField<field>``, ``errors`` (a list) gives ErrorString. Directories of paths that are
+    empty leave their tokens as they stand."""
+    from . import paths
+
+    have = lambda c, empty: F.coalesce(F.col(c).cast("string"), F.lit(empty)) if c in columns else F.lit(empty)
+    out = {t: have(c, "0" if t in _NUMBERS else "") for t, c in TOKENS.items()}
+    ms = F.expr("(timestamp - pmod(timestamp, 1000000L)) div 1000000L") if "timestamp" in columns else F.lit(0).cast("long")
+    out |= date_parts(ms) | {"DateTime": millis_text(ms), "StatusString": status_binary(out["Status"].cast("int"))}
+    name, ext = out["ObjectName"], out["Ext"]
+    ends = (ext != "") & F.endswith(name, ext)
+    out["ObjectBaseName"] = F.when(ends, F.substring(name, F.lit(1), F.length(name) - F.length(ext))).otherwise(name)
+    out["EscapedVirtualPath"] = url_query_escaped(out["VirtualPath"])
+    at = lambda p, value, token: F.when(p != "", value).otherwise(F.lit("{{." + token + "}}"))
+    path, target = out["VirtualPath"], out["VirtualTargetPath"]
+    out["VirtualDirPath"] = at(path, paths.parent(path), "VirtualDirPath")
+    out["VirtualTargetDirPath"] = at(target, paths.parent(target), "VirtualTargetDirPath")
+    out["TargetName"] = at(target, paths.base(target), "TargetName")
+    out["ErrorString"] = F.coalesce(F.array_join("errors", ", "), F.lit("")) if "errors" in columns else F.lit("")
+    for t in ("ObjectData", "Metadata"):
+        data = out[t]
+        out[t], out[f"{t}String"] = F.when(data != "", data).otherwise("{}"), json_escaped(data)
+    return out | {f"IDPField{c.removeprefix('idp_')}": F.col(c) for c in columns if c.startswith("idp_")}

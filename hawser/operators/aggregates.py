@@ -24,6 +24,14 @@ def host_scores(events: DataFrame, since_us: int) -> DataFrame:
     return events.where(F.col("ts_us") >= since_us).groupBy("ip").agg(F.sum(event_score(F.col("event"))).cast("long").alias("score")).where("score > 0")
 
 
+def host_listing(hosts: DataFrame, events: DataFrame, since_us: int, now_us: int) -> DataFrame:
+    """Known hosts with their score since then and, while it lasts, their ban; hosts with neither drop out. hosts: ip, ban_us (end
+    of the ban, null or 0 without). Scores are summed before the join."""
+    ban = F.when(F.col("ban_us") > now_us, F.col("ban_us"))
+    scored = hosts.select("ip", ban.alias("ban_us")).join(host_scores(events, since_us), "ip", "left")
+    return scored.select("ip", "ban_us", F.coalesce("score", F.lit(0)).cast("long").alias("score")).where("score > 0 OR ban_us IS NOT NULL")
+
+
 def sliding_scores(events: DataFrame, window_us: int, inclusive: bool = False) -> DataFrame:
     """Each event with its host's total over the window that ends with it; an event exactly a window old counts only if inclusive."""
     w = Window.partitionBy("ip").orderBy("ts_us").rangeBetween(-window_us + (0 if inclusive else 1), 0)

@@ -69,14 +69,32 @@ def usage_reset(files: DataFrame, users: DataFrame) -> DataFrame:
     return users.select("username").join(by, "username", "left").select("username", F.coalesce("f", F.lit(0)).cast("long").alias("used_files"), F.coalesce("s", F.lit(0)).cast("long").alias("used_size"))
 
 
+def folder_reset(files: DataFrame, folders: DataFrame, names: Column | None = None) -> DataFrame:
+    """Recounted files and bytes of every folder (of those that ``names`` admits). files: folder, size; folders: name."""
+    by = files.groupBy(F.col("folder").alias("name")).agg(F.count("*").alias("f"), F.sum("size").alias("s"))
+    mine = folders if names is None else folders.where(names)
+    return mine.select("name").join(by, "name", "left").select("name", F.coalesce("f", F.lit(0)).cast("long").alias("used_files"), F.coalesce("s", F.lit(0)).cast("long").alias("used_size"))
+
+
+def transfer_reset(users: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Users with nothing uploaded or downloaded any more (used_ul, used_dl), those that ``wanted`` admits; others as they are."""
+    hit = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    return users.withColumns({c: F.when(hit, F.lit(0)).otherwise(F.col(c)).cast("long") for c in ("used_ul", "used_dl")})
+
+
 def existing(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """Wanted paths, and whether each is there."""
     return wanted.join(files.select("path").distinct().withColumn("found", F.lit(True)), "path", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def zip_estimate(files: DataFrame, by: str) -> DataFrame:
-    """Size to reserve for an archive: half of the regular files' bytes."""
-    return files.groupBy(by).agg(F.floor(F.sum("size") / 2).cast("long").alias("estimate"))
+def zip_estimate(files: DataFrame, by: str, quotas: DataFrame | None = None) -> DataFrame:
+    """Size to reserve for an archive: half of the files' bytes. Where ``quotas`` (by, quota_size, used_size) are given, -1 for
+    those without a size limit or with nothing left of it: there is no quota to check."""
+    sizes = files.groupBy(by).agg(F.floor(F.sum("size") / 2).cast("long").alias("estimate"))
+    if quotas is None:
+        return sizes
+    left = (F.col("quota_size") > 0) & (F.col("used_size") < F.col("quota_size"))
+    return sizes.join(quotas.select(by, left.alias("__left")), by, "left").select(by, F.when(F.col("__left"), F.col("estimate")).otherwise(-1).cast("long").alias("estimate"))
 
 
 def archive_base(files: DataFrame, by: str) -> DataFrame:

@@ -81,7 +81,7 @@ def share_usable(now_ms: Column, ip: Column) -> Column:
 
 
 def file_allowed(name: Column, allowed: list[str], denied: list[str]) -> Column:
-    """Name against deny, then allow patterns (any case); an allow list denies what it does not name."""
+    """Name against allow, then deny patterns (any case); an allow list denies what neither names."""
     low = F.lower(name)
 
     def hit(patterns: list[str]) -> Column:
@@ -91,19 +91,39 @@ def file_allowed(name: Column, allowed: list[str], denied: list[str]) -> Column:
                 found = found | low.rlike(regex)
         return found
 
-    return F.when(hit(denied), False).when(F.lit(bool(allowed)), hit(allowed)).otherwise(True)
+    return F.when(hit(allowed), True).when(hit(denied), False).otherwise(not allowed)
+
+
+def _nearest_rule(folder: Column, rules: list[dict], none: Column, verdict) -> Column:
+    """verdict(rule) of the deepest rule at or above a folder, ``none`` without one. A rule that denies everything but what it
+    allows says nothing below the directories that it allows by name."""
+    out, parts = none, F.filter(F.split(folder, "/"), lambda p: p != "")
+    for r in sorted(rules, key=lambda r: _depth(r["path"])):
+        at, says = r["path"], verdict(r)
+        if r.get("allowed") and r.get("denied", [])[:1] == ["*"]:
+            child = F.get(parts, F.lit(_depth(at)))
+            says = F.when(child.isNotNull() & file_allowed(child, r["allowed"], r["denied"]), none).otherwise(says)
+        out = F.when(F.lit(at == "/") | (folder == at) | F.startswith(folder, F.lit(at + "/")), says).otherwise(out)
+    return out
+
+
+def _depth(path: str) -> int:
+    return len([p for p in path.split("/") if p])
 
 
 def visible(entries: DataFrame, rules: list[dict]) -> DataFrame:
     """Directory entries after the file patterns of their nearest ruled directory. rules: path, allowed, denied, hide
-    (hidden entries go; others stay, flagged not allowed)."""
-    up = paths.ancestors(paths.parent(F.col("path")))
-    ok, hide = F.lit(True), F.lit(False)
-    for r in sorted(rules, key=lambda r: r["path"].count("/") if r["path"] != "/" else 0):
-        mine = F.array_contains(up, r["path"])
-        ok = F.when(mine, file_allowed(paths.base(F.col("path")), r.get("allowed", []), r.get("denied", []))).otherwise(ok)
-        hide = F.when(mine, F.lit(bool(r.get("hide")))).otherwise(hide)
-    return entries.withColumn("allowed", ok).withColumn("__h", hide).where("allowed OR NOT __h").drop("__h")
+    (hidden entries go, with all below a directory that a rule above hides; others stay, flagged not allowed)."""
+    folder, name = paths.parent(F.col("path")), paths.base(F.col("path"))
+    ok = _nearest_rule(folder, rules, F.lit(True), lambda r: file_allowed(name, r.get("allowed", []), r.get("denied", [])))
+    hide = _nearest_rule(folder, rules, F.lit(False), lambda r: F.lit(bool(r.get("hide"))))
+
+    def hidden(d: Column) -> Column:
+        no = F.lit(False)
+        return _nearest_rule(d, rules, no, lambda r: (d != r["path"]) & ~file_allowed(paths.base(d), r.get("allowed", []), r.get("denied", [])) if r.get("hide") else no)
+
+    gone = F.exists(F.filter(paths.ancestors(folder), lambda d: d != "/"), hidden) if any(r.get("hide") for r in rules) else F.lit(False)
+    return entries.withColumn("allowed", ok).where(~gone & (F.col("allowed") | ~hide))
 
 
 def has_upload_space(limit_ul: Column, used_ul: Column, limit_total: Column, used_total: Column) -> Column:

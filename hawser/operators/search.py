@@ -104,6 +104,22 @@ def fs_export(events: DataFrame) -> DataFrame:
     })
 
 
+def provider_export(events: DataFrame) -> DataFrame:
+    """Rows of the export of changes to users, folders and other objects, with the event's id."""
+    return _exported(events, {
+        "time": text.rfc3339_nano(F.col("timestamp")), "action": F.col("action"), "object_type": F.col("object_type"), "object_name": F.col("object_name"),
+        "user": F.col("username"), "ip": F.col("ip"), "role": F.col("role"),
+    })
+
+
+def log_export(events: DataFrame) -> DataFrame:
+    """Rows of the export of log events (logins and negotiations), with the event's id."""
+    return _exported(events, {
+        "time": text.rfc3339_nano(F.col("timestamp")), "event": text.log_event_label(F.col("event")), "protocol": F.col("protocol"), "user": F.col("username"),
+        "ip": F.col("ip"), "message": F.col("message"), "role": F.col("role"),
+    })
+
+
 def page(rows: DataFrame, key: str, limit: int = PAGE_DEFAULT, offset: int = 0, order: str = "ASC") -> DataFrame:
     """Sorted page; the limit is capped, an unknown order is an error. Filter before: the offset counts what is left."""
     if order not in ("ASC", "DESC"):

@@ -27,6 +27,16 @@ def accounts_from_login(logins: DataFrame, users: DataFrame, template: str, sche
     return dml.restore(users, made, ["username"], 1 if mode == 1 else 0)[0]
 
 
+def admins_from_login(logins: DataFrame, admins: DataFrame, template: str, schema: str, mode: int, kept: tuple[str, ...] = ("totp_config", "recovery_codes")) -> DataFrame:
+    """The same for administrators. An existing one keeps its password if the template has none, and its columns in ``kept``."""
+    out = accounts_from_login(logins, admins, template, schema, mode)
+    own = ["password", *[c for c in kept if c in admins.columns]]
+    out = out.join(admins.select("username", *[F.col(c).alias(f"__{c}") for c in own], F.lit(True).alias("__old")), "username", "left")
+    new = {c: F.when(F.col("__old"), F.col(f"__{c}")).otherwise(F.col(c)) for c in own[1:]}
+    new["password"] = F.when(F.coalesce("password", F.lit("")) != "", F.col("password")).otherwise(F.coalesce("__password", F.uuid()))
+    return out.withColumns(new).select(*admins.columns)
+
+
 def runnable(tasks: DataFrame, now_ms: int, lock_ms: int = 600_000) -> DataFrame:
     """Tasks that may start: not touched by another run's heartbeat lately."""
     return tasks.where(F.col("updated_at") + lock_ms < now_ms)

@@ -564,7 +564,7 @@ def parse_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FS_SQL} SELECT id, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%g') AS millis, 'file ' || username || ' {{{{.Nope}}}} at ' || strftime(make_timestamp(ts_us), '%Y/%m') AS body FROM fs")
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.floor(F.col("ts_us") / 1000).cast("long")
-    body = text.template("file {{.Name}} {{.Nope}} at {{.Year}}/{{ .Month }}", {"Name": F.col("username"), **text.date_parts(ms)})
+    body = text.template("file {{.Name}} {{.Nope}} at {{.Year}}/{{.Month}}", {"Name": F.col("username"), **text.date_parts(ms)})
     return tables.fs_events(spark, sf_dir).select("id", text.millis_text(ms).alias("millis"), body.alias("body"))
 
 

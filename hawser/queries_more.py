@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import net, paths, text
-from .operators import aggregates, checks, dml, joins, policy, search
+from .operators import aggregates, caches, checks, dml, joins, policy, search
 from .plans import accounts
-from .queries import AS_OF, FILES_SQL, FS_SQL, HOST_SQL, USERS_SQL, _RETAIN_SQL, _policies, query
-from .sinks import export
+from .queries import _SINCE, AS_OF, FILES_SQL, FS_SQL, HOST_SQL, SCORE_SQL, USERS_SQL, _cte, _RETAIN_SQL, _policies, query
+from .sinks import actions, export
 from .sources import tables
 
 
@@ -24,8 +24,8 @@ def share_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("share", policy.share_usable(F.lit(AS_OF), F.col("ip")).alias("usable"))
 
 
-@query(f"""WITH {FS_SQL} SELECT id, virtual_path AS path, CASE WHEN starts_with(virtual_path, '/error/u1/') THEN true WHEN starts_with(virtual_path, '/error/') THEN ends_with(virtual_path, '.txt') ELSE NOT ends_with(virtual_path, '.tmp') END AS allowed
-    FROM fs WHERE NOT (starts_with(virtual_path, '/error/') AND NOT starts_with(virtual_path, '/error/u1/') AND NOT ends_with(virtual_path, '.txt'))""")
+@query(f"""WITH {FS_SQL} SELECT id, virtual_path AS path, starts_with(virtual_path, '/error/u1/') OR NOT ends_with(virtual_path, '.tmp') AS allowed
+    FROM fs WHERE NOT starts_with(virtual_path, '/error/') OR starts_with(virtual_path, '/error/u1/')""")
 def file_pattern_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [{"path": "/", "denied": ["*.tmp"]}, {"path": "/error", "allowed": ["*.TXT"], "hide": True}, {"path": "/error/u1"}]
     return policy.visible(tables.fs_events(spark, sf_dir).select("id", F.col("virtual_path").alias("path")), rules)
@@ -193,3 +193,106 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {USERS_SQL} SELECT id, username FROM users WHERE username > 'Customer#000000020' AND starts_with(username, 'Customer#0000000') ORDER BY username LIMIT 30")
 def name_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyset(tables.users(spark, sf_dir).select("id", "username"), "username", after="Customer#000000020", prefix="Customer#0000000", limit=30)
+
+
+# ---- changes to objects, log events ---------------------------------------------------------------------------------
+
+PROVIDER_SQL = _cte("ev", tables.PROVIDER_EVENTS, "orders", us="epoch_us(o_orderdate)")
+LOG_SQL = _cte("ev", tables.LOG_EVENTS, "events", us="epoch_us(ts)")
+
+
+@query(f"""WITH {PROVIDER_SQL} SELECT id, strftime(make_timestamp(timestamp // 1000), '%Y-%m-%dT%H:%M:%S') || CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '.0000005' ELSE '.000001' END || 'Z' AS time, action, object_type,
+    CASE WHEN starts_with(object_name, '=') THEN '''' || object_name ELSE object_name END AS object_name, username AS user, ip, role FROM ev""")
+def provider_event_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.provider_export(tables.provider_events(spark, sf_dir))
+
+
+@query(f"""WITH {LOG_SQL} SELECT id, strftime(make_timestamp(timestamp // 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN timestamp // 1000 % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad((timestamp // 1000 % 1000000)::VARCHAR, 6, '0'), '0') END || 'Z' AS time,
+    CASE event WHEN 1 THEN 'Login failed' WHEN 2 THEN 'Login with non-existent user' WHEN 3 THEN 'No login tried' WHEN 4 THEN 'Algorithm negotiation failed' WHEN 5 THEN 'Login succeeded' ELSE '' END AS event,
+    protocol, username AS user, ip, CASE WHEN message = '-denied' THEN '''-denied' ELSE message END AS message, role FROM ev""")
+def log_event_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.log_export(tables.log_events(spark, sf_dir))
+
+
+@query(f"WITH {PROVIDER_SQL} SELECT id, timestamp, action, object_type, object_name, username FROM ev WHERE action IN ('add', 'update') AND object_type IN ('user', 'admin') AND role = 'role1' ORDER BY timestamp, id LIMIT 200")
+def provider_event_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = search.EventFilter(among={"action": ["add", "update"], "object_type": ["user", "admin"]}, order="ASC", limit=200, role="role2").scoped("role1")
+    return search.search_events(tables.provider_events(spark, sf_dir), f).select("id", "timestamp", "action", "object_type", "object_name", "username")
+
+
+@query(f"WITH {LOG_SQL} SELECT id, timestamp, event, protocol, username, ip FROM ev WHERE event IN (1, 2, 5) AND protocol IN ('SSH', 'HTTP') ORDER BY timestamp DESC, id DESC LIMIT 300")
+def log_event_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = search.EventFilter(among={"event": [1, 2, 5], "protocol": ["SSH", "HTTP"]}, limit=300)
+    return search.search_events(tables.log_events(spark, sf_dir), f).select("id", "timestamp", "event", "protocol", "username", "ip")
+
+
+@query(f"""WITH {HOST_SQL}, hosts AS (SELECT concat('10.0.', c_custkey % 16, '.', c_custkey % 200) AS ip, max(CASE c_custkey % 5 WHEN 0 THEN {_SINCE} + c_custkey WHEN 1 THEN 0 END) AS ban FROM customer GROUP BY 1),
+    s AS (SELECT ip, sum({SCORE_SQL})::BIGINT AS score FROM host WHERE ts_us >= {_SINCE} GROUP BY 1)
+    SELECT ip, CASE WHEN ban > {_SINCE} + 50 THEN ban END AS ban_us, coalesce(score, 0) AS score FROM hosts LEFT JOIN s USING (ip) WHERE coalesce(score, 0) > 0 OR ban > {_SINCE} + 50""")
+def host_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    hosts = tables.load(spark, sf_dir, "customer").groupBy(F.concat(F.lit("10.0."), k % 16, F.lit("."), k % 200).alias("ip")).agg(F.max(F.when(k % 5 == 0, k + _SINCE).when(k % 5 == 1, 0)).alias("ban_us"))
+    return aggregates.host_listing(hosts, tables.host_events(spark, sf_dir), _SINCE, _SINCE + 50)
+
+
+# ---- quotas, patterns, caches, actions ------------------------------------------------------------------------------
+
+
+@query(f"""WITH {FILES_SQL}, q AS (SELECT DISTINCT username, substr(username, 5)::BIGINT AS n FROM files)
+    SELECT username, CASE WHEN n % 3 * 1000 > 0 AND n % 5 * 400 < n % 3 * 1000 THEN sum(size)::BIGINT // 2 ELSE -1 END AS estimate FROM files JOIN q USING (username) GROUP BY username, n""")
+def zip_size_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = tables.files(spark, sf_dir)
+    n = F.substring("username", 5, 20).cast("long")
+    return checks.zip_estimate(f, "username", f.select("username", (n % 3 * 1000).alias("quota_size"), (n % 5 * 400).alias("used_size")).distinct())
+
+
+@query("SELECT n_name AS name, count(c_custkey) AS used_files, coalesce(sum(c_custkey), 0)::BIGINT AS used_size FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 3) ON c_nationkey = n_nationkey GROUP BY 1")
+def folder_quota_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = tables.load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    files = tables.load(spark, sf_dir, "customer").where("c_nationkey <> 3").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("name").alias("folder"), F.col("c_custkey").alias("size"))
+    return checks.folder_reset(files, n)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'FURNITURE' THEN 0 ELSE c_custkey * 10 END AS used_ul, CASE WHEN c_mktsegment = 'FURNITURE' THEN 0 ELSE c_custkey * 7 END AS used_dl FROM customer")
+def transfer_quota_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = tables.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", (F.col("c_custkey") * 10).alias("used_ul"), (F.col("c_custkey") * 7).alias("used_dl"))
+    return checks.transfer_reset(users, F.col("c_mktsegment") == "FURNITURE").drop("c_mktsegment")
+
+
+@query(f"""WITH {FS_SQL} SELECT id, virtual_path AS path, CASE WHEN starts_with(virtual_path, '/click/') THEN ends_with(virtual_path, '.csv') ELSE true END AS allowed
+    FROM fs WHERE NOT starts_with(virtual_path, '/error/') OR starts_with(virtual_path, '/error/u1')""")
+def file_pattern_deny_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [{"path": "/error", "allowed": ["u1*"], "denied": ["*"], "hide": True}, {"path": "/click", "allowed": ["*.csv"], "denied": ["*.csv", "f1*"]}]
+    return policy.visible(tables.fs_events(spark, sf_dir).select("id", F.col("virtual_path").alias("path")), rules)
+
+
+@query("""WITH p AS (SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 33 + page_id * 65568 ELSE octet_length(encode(html)) * (page_id % 200) END::BIGINT AS n FROM pages), b AS (SELECT *, n - 33 AS body, (n - 33) % 65568 AS last FROM p)
+    SELECT id, CASE WHEN body < 0 THEN 0 WHEN last > 0 AND last <= 32 THEN body ELSE body // 65568 * 65536 + CASE WHEN last > 0 THEN last - 32 ELSE 0 END END::BIGINT AS size FROM b""")
+def encrypted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    files = tables.load(spark, sf_dir, "pages").select(k.alias("id"), F.when(k % 3 == 0, k * 65568 + 33).otherwise(F.octet_length("html") * (k % 200)).cast("long").alias("size"))
+    return tables.encrypted_listing(files)
+
+
+@query("SELECT page_id AS id, replace(url_encode(url || ' a*b~c+é'), '%20', '+') AS escaped FROM pages")
+def url_query_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.url_query_escaped(F.concat("url", F.lit(" a*b~c+é"))).alias("escaped"))
+
+
+@query(f"""WITH {FS_SQL} SELECT id, username || ' ' || CASE status WHEN 1 THEN 'OK' ELSE 'KO' END || ' ' || regexp_replace(virtual_path, '/[^/]*$', '') || ' ' || CASE WHEN virtual_target_path <> '' THEN '/archive f' || id ELSE '{{{{.VirtualTargetDirPath}}}} {{{{.TargetName}}}}' END
+    || ' ' || replace(virtual_path, '/', '%2F') || ' ' || file_size || ' {{}} {{{{ .Name }}}} ' || strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%g') || ' ' AS body FROM fs""")
+def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.fs_events(spark, sf_dir)
+    source = "{{.Name}} {{.StatusString}} {{.VirtualDirPath}} {{.VirtualTargetDirPath}} {{.TargetName}} {{.EscapedVirtualPath}} {{.FileSize}} {{.ObjectData}} {{ .Name }} {{.DateTime}} {{.ErrorString}}"
+    return e.select("id", text.template(source, text.event_tokens(e.columns)).alias("body"))
+
+
+@query(f"""WITH {FS_SQL} SELECT id, 'https://hook.example/' || action || '?path=' || replace(virtual_path, '/', '%2F') || '&user=' || username AS request_url, username || ' ' || status AS request_body FROM fs WHERE action = 'delete'""")
+def http_action_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.fs_events(spark, sf_dir).where("action = 'delete'")
+    return actions.http_requests(e, "https://hook.example/{{.Event}}", body="{{.Name}} {{.Status}}", query={"user": "{{.Name}}", "path": "{{.VirtualPath}}"}).select("id", "request_url", "request_body")
+
+
+@query(f"WITH {USERS_SQL}, u AS (SELECT username, last_login AS used_at FROM users WHERE last_login >= {AS_OF} - 3600000) SELECT * FROM u ORDER BY used_at DESC, username LIMIT CASE WHEN (SELECT count(*) FROM u) >= 5 THEN 1 ELSE 1000000000 END")
+def password_cache_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caches.credentials_kept(tables.users(spark, sf_dir).select("username", F.col("last_login").alias("used_at")), AS_OF, 1)

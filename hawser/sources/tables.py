@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,26 @@ HOST_EVENTS = {
     "event": "CASE event_type WHEN 'error' THEN 'LoginFailed' WHEN 'signup' THEN 'UserNotFound' WHEN 'view' THEN 'NoLoginTried' ELSE 'LimitExceeded' END",
     "protocol": "CASE event_id % 4 WHEN 0 THEN 'SSH' WHEN 1 THEN 'FTP' WHEN 2 THEN 'DAV' ELSE 'HTTP' END",
 }
+PROVIDER_EVENTS = {
+    "id": "o_orderkey",
+    "timestamp": "{us} * 1000 + o_orderkey % 3 * 500",
+    "action": "CASE o_orderkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END",
+    "object_type": "CASE o_orderkey % 5 WHEN 0 THEN 'user' WHEN 1 THEN 'folder' WHEN 2 THEN 'group' WHEN 3 THEN 'admin' ELSE 'share' END",
+    "object_name": "concat(CASE WHEN o_orderkey % 9 = 0 THEN '=name' ELSE 'name' END, o_custkey)",
+    "username": "concat('admin', o_custkey % 10)",
+    "ip": "concat('10.1.', o_custkey % 8, '.', o_orderkey % 4)",
+    "role": "CASE WHEN o_custkey % 3 = 0 THEN '' ELSE concat('role', o_custkey % 3) END",
+}
+LOG_EVENTS = {
+    "id": "event_id",
+    "timestamp": "{us} * 1000",
+    "event": "CAST(event_id % 6 AS INT)",
+    "protocol": "CASE event_id % 4 WHEN 0 THEN 'SSH' WHEN 1 THEN 'FTP' WHEN 2 THEN 'DAV' ELSE 'HTTP' END",
+    "username": "CASE WHEN event_id % 6 = 3 THEN '' ELSE concat('user', user_id) END",
+    "ip": "concat('10.0.', user_id % 16, '.', user_id % 200)",
+    "message": "CASE WHEN event_id % 6 = 1 THEN '-denied' ELSE event_type END",
+    "role": "CASE WHEN user_id % 3 = 0 THEN '' ELSE concat('role', user_id % 3) END",
+}
 USERS = {
     "id": "c_custkey",
     "username": "c_name",
@@ -83,6 +103,14 @@ def host_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(load(spark, sf_dir, "events"), HOST_EVENTS, us=micros())
 
 
+def provider_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(load(spark, sf_dir, "orders"), PROVIDER_EVENTS, us=micros("o_orderdate"))
+
+
+def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(load(spark, sf_dir, "events"), LOG_EVENTS, us=micros())
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").selectExpr(*[f"{v} AS `{k}`" for k, v in USERS.items()])
 
@@ -153,3 +181,61 @@ def connections(snapshot: DataFrame, role: str = "") -> DataFrame:
     """Live connections, a row for each transfer (and for connections without one); only a role's where one is given."""
     rows = snapshot.where(F.col("role") == role) if role else snapshot
     return rows.withColumn("transfer", F.explode_outer("transfers")).drop("transfers")
+
+
+#: Fixed values of encrypted files: bytes of the header, of a package's payload and of what is added to each payload.
+CRYPT_HEADER, CRYPT_PAYLOAD, CRYPT_ADDED = 33, 65536, 32
+
+
+def decrypted_size(size: Column) -> Column:
+    """Plain bytes of an encrypted file's length. A length that no such file has counts without its header; below it, as 0."""
+    body, package = size - CRYPT_HEADER, CRYPT_PAYLOAD + CRYPT_ADDED
+    last = F.pmod(body, F.lit(package))
+    plain = F.floor(body / package) * CRYPT_PAYLOAD + F.when(last > 0, last - CRYPT_ADDED).otherwise(0)
+    return F.when(body < 0, 0).when((last > 0) & (last <= CRYPT_ADDED), body).otherwise(plain).cast("long")
+
+
+def encrypted_listing(files: DataFrame) -> DataFrame:
+    """A listing of encrypted files with the sizes of their plain contents."""
+    return files.withColumn("size", decrypted_size(F.col("size")))
+
+
+LISTED = "root string, name string, size long, is_dir boolean, mtime_ms long"
+
+
+def remote_listing(roots: DataFrame, lister) -> DataFrame:
+    """Directories on servers that Spark has no file system for, a row for each entry. roots: root, spread over partitions by
+    the caller; lister(root) yields dicts of name, size, is_dir, mtime_ms and runs on the executors, a directory at a time."""
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            for root in f["root"]:
+                rows = [{"root": root, **e} for e in lister(root)]
+                if rows:
+                    yield pd.DataFrame(rows)[["root", "name", "size", "is_dir", "mtime_ms"]]
+
+    return roots.select("root").mapInPandas(run, LISTED)
+
+
+#: Fixed value: the bit of a file mode that marks directories in HTTP listings.
+MODE_DIR = 1 << 31
+
+
+def http_lister(endpoint: str, api_key: str = "", timeout: float = 30):
+    """A lister for servers that answer GET <endpoint>/readdir/<path> with a JSON list of name, size, mode, last_modified."""
+
+    def lister(root: str):
+        import json
+        from datetime import datetime
+        from urllib.parse import quote
+        from urllib.request import Request, urlopen
+
+        request = Request(f"{endpoint}/readdir/{quote(root, safe='')}", headers={"X-API-KEY": api_key} if api_key else {})
+        with urlopen(request, timeout=timeout) as answer:
+            for e in json.load(answer):
+                at = datetime.fromisoformat(e["last_modified"].replace("Z", "+00:00"))
+                yield {"name": e["name"], "size": e["size"], "is_dir": bool(e["mode"] & MODE_DIR), "mtime_ms": int(at.timestamp() * 1000)}
+
+    return lister

@@ -221,3 +221,120 @@ def test_streams(spark, tmp_path):
     deltas = src().selectExpr("ip AS key", "1 AS files", "2 AS size")
     quota_stream(deltas, lambda df, e: got.extend(map(tuple, df.collect())), str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination(120)
     assert got == [("h", 12, 24)]
+
+
+def test_patterns_of_folders(spark):
+    rules = [{"path": "/a", "allowed": ["ok", "*.jpg"], "denied": ["*"], "hide": True}, {"path": "/b", "allowed": ["x.*"], "denied": ["*.zip"]}]
+    want = {"/a/ok": True, "/a/ok/any.bin": True, "/a/ok/deep/any.bin": True, "/a/p.jpg": True, "/b/x.zip": True, "/b/y.zip": False, "/b/y.txt": False, "/c/z": True}
+    gone = ["/a/no", "/a/no/p.jpg", "/a/no/ok/p.jpg"]
+    rows = spark.createDataFrame([(p,) for p in [*want, *gone]], "path string")
+    assert {r["path"]: r["allowed"] for r in policy.visible(rows, rules).collect()} == want
+
+
+def test_actions(spark):
+    from hawser.sinks import actions
+
+    e = spark.createDataFrame([(1, "b&b <x>", "/d/a b.txt", "a@x.org, ,c@x.org"), (2, "{{.VirtualPath}}", "/q", None)], "id long, username string, virtual_path string, email string")
+    got = actions.mails(e, ["{{.Email}}", "z@x.org"], "S {{.Name}}", "<b>{{.Name}}</b>", html=True).orderBy("id").collect()
+    assert got[0]["mail_to"] == ["a@x.org", "c@x.org", "z@x.org"] and got[1]["mail_to"] == ["z@x.org"] and got[0]["mail_bcc"] == []
+    assert got[0]["mail_body"] == "<b>b&amp;b &lt;x&gt;</b>" and got[1]["mail_subject"] == "S {{.VirtualPath}}"
+    with pytest.raises(ValueError):
+        actions.commands(e, "/bin/rm", ["/bin/true"])
+    c = actions.commands(e, "/bin/true", ["/bin/true"], ["{{.VirtualPath}}", "-v"], {"WHO": "{{.Name}}"}).orderBy("id").first()
+    assert c["command_args"] == ["/d/a b.txt", "-v"] and c["command_env"] == {"WHO": "b&b <x>"}
+    ops = actions.file_operations(e, "rename", {"{{.VirtualPath}}": "/old//{{.Name}}/../x"}).orderBy("id").collect()
+    assert [(o["source"], o["target"], o["position"]) for o in ops] == [("/d/a b.txt", "/old/x", 0), ("/q", "/old/x", 0)]
+    r = actions.http_requests(e, "http://h/?a=1", "GET", "body", query={"p": "{{.VirtualPath}}"})
+    assert [x["request_url"] for x in r.orderBy("id").collect()] == ["http://h/?a=1&p=%2Fd%2Fa+b.txt", "http://h/?a=1&p=%2Fq"] and r.first()["request_body"] is None
+    sent = actions.delivered(r, "id", lambda rows: [204 if x["id"] == 1 else 500 for x in rows])
+    assert sorted(map(tuple, sent.collect())) == [(1, True), (2, False)]
+
+
+def test_caches(spark):
+    from hawser.operators import caches
+
+    now = 10_000_000
+    cache = spark.createDataFrame([(f"u{i}", now - i * 600_000) for i in range(12)], "username string, used_at long")
+    names = lambda df: {r["username"] for r in df.collect()}
+    assert len(names(caches.credentials_kept(cache, now, 12))) == 12
+    assert names(caches.credentials_kept(cache, now, 2)) == {f"u{i}" for i in range(7)}  # seven within the hour, below ten
+    assert names(caches.credentials_kept(cache, now, 1)) == {"u0"}
+    users = spark.createDataFrame([("a", 0), ("b", 5), ("c", 9)], "username string, expiration long")
+    assert names(caches.users_cached(users, spark.createDataFrame([("d", 7), ("", 7)], users.schema), 3)) == {"a", "c", "d"}
+    assert names(caches.users_cached(users, spark.createDataFrame([("b", 7)], users.schema), 3)) == {"a", "b", "c"}
+    assert names(caches.unexpired(users, 6)) == {"a", "c"}
+
+
+def test_check_of_transfers(spark):
+    from hawser.streaming.periodic import transfers_to_close
+
+    t = spark.createDataFrame(
+        [("c1", "u", "f", "upload", 60, 0, 0, True), ("c2", "u", "f", "upload", 60, 0, 0, True), ("c3", "u", "f", "upload", 60, 0, 0, False), ("c4", "v", "f", "download", 0, MB, 0, True), ("c5", "v", "f", "download", 0, MB, 0, True)],
+        "connection_id string, username string, folder string, kind string, ul long, dl long, truncated long, has_size_limit boolean",
+    )
+    none = [0] * 5
+    users = spark.createDataFrame([("u", 100, 0, *none), ("v", 0, 0, 1, *none[1:])], "username string, quota_size long, used_size long, limit_total long, limit_ul long, limit_dl long, used_ul long, used_dl long")
+    got = {(r["connection_id"], r["error"]) for r in transfers_to_close(t, users).collect()}
+    assert got == {("c1", "quota exceeded"), ("c2", "quota exceeded"), ("c4", "read quota exceeded"), ("c5", "read quota exceeded")}
+    one = t.where("connection_id = 'c1'")
+    assert transfers_to_close(one, users) is None and transfers_to_close(one, users, shared=True).count() == 0
+
+
+def test_admins_from_login(spark):
+    from hawser.plans.accounts import admins_from_login, runnable
+
+    admins = spark.createDataFrame([("a", "old", "keep", 1)], "username string, password string, totp_config string, status int")
+    logins = spark.createDataFrame([("a",), ('n"w',)], "Name string")
+    template, schema = '{"username": "{{.Name}}", "status": 0, "totp_config": "new"}', "username string, password string, totp_config string, status int"
+    rows = {r["username"]: r for r in admins_from_login(logins, admins, template, schema, 0).collect()}
+    assert (rows["a"]["password"], rows["a"]["totp_config"], rows["a"]["status"]) == ("old", "keep", 0) and rows['n"w']["password"] and rows['n"w']["totp_config"] == "new"
+    assert {r["username"]: r["status"] for r in admins_from_login(logins, admins, template, schema, 1).collect()} == {"a": 1, 'n"w': 0}
+    tasks = spark.createDataFrame([("t", 0), ("s", 900_000)], "name string, updated_at long")
+    assert [r["name"] for r in runnable(tasks, 1_000_000).collect()] == ["t"]
+
+
+def test_sources(spark, tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Listing(BaseHTTPRequestHandler):
+        def do_GET(self):
+            names = [{"name": "f", "size": 3, "mode": 420, "last_modified": "2024-01-01T00:00:00Z"}, {"name": "d", "size": 0, "mode": (1 << 31) + 493, "last_modified": "2024-01-01T00:00:01Z"}] if self.path == "/readdir/%2Fr%201" else []
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(names).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Listing)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    roots = spark.createDataFrame([("/r 1",), ("/empty",)], "root string")
+    got = tables.remote_listing(roots, tables.http_lister(f"http://127.0.0.1:{server.server_port}")).collect()
+    server.shutdown()
+    assert sorted(map(tuple, got)) == [("/r 1", "d", 0, True, 1704067201000), ("/r 1", "f", 3, False, 1704067200000)]
+    sizes = {33: 0, 10: 0, 33 + 40: 8, 33 + 20: 20, 33 + 65568: 65536, 33 + 65568 + 33: 65537}
+    rows = spark.createDataFrame([(n,) for n in sizes], "size long")
+    assert {r["size"]: r["p"] for r in rows.withColumn("p", tables.decrypted_size(F.col("size"))).collect()} == sizes
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("abc")
+    (tmp_path / "y.bin").write_text("d")
+    found = {r["path"].rsplit("/", 1)[1]: r["size"] for r in tables.listing(spark, str(tmp_path)).collect()}
+    assert found == {"x.txt": 3, "y.bin": 1} and tables.listing(spark, str(tmp_path), "*.txt").count() == 1
+    paths_ = spark.createDataFrame([("/a",), ("/a/b/c",), ("/ab",)], "path string")
+    assert {r["path"] for r in tables.walk(paths_, "/a").collect()} == {"/a", "/a/b/c"}
+    found = checks.existing(spark.createDataFrame([("/a",), ("/no",)], "path string"), paths_)
+    assert {r["path"]: r["found"] for r in found.collect()} == {"/a": True, "/no": False}
+    log = tmp_path / "log.json"
+    log.write_text('{"sender":"Upload","username":"u"}\n{"sender":"login"}\nnot json\n{"sender":"Rename"}\n{"sender":"connection_failed"}\n')
+    assert sorted(r["kind"] or "" for r in tables.json_log(spark, str(log)).collect()) == ["", "command", "failed", "login", "transfer"]
+    live = spark.createDataFrame([("c", "r1", ["t1", "t2"]), ("e", "", None)], "id string, role string, transfers array<string>")
+    assert tables.connections(live).count() == 3 and tables.connections(live, "r1").count() == 2
+
+
+def test_same_items(spark):
+    from hawser.functions import text
+
+    rows = spark.createDataFrame([(["a", "b", "a"], ["b", "a", "a"]), (["a"], ["a", "a"]), ([], []), (["a", "b"], ["a", "a"])], "x array<string>, y array<string>")
+    assert [r["v"] for r in rows.select(text.same_items(F.col("x"), F.col("y")).alias("v")).collect()] == [True, False, True, False]
